@@ -1,0 +1 @@
+"""Empty on purpose: the data model has no event time, no window and no stateful operator, so nothing streams."""
