@@ -21,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A fresh folder for the tables of one run."""
-    return f"{shared_folder(spark)}/argweave-{uuid.uuid4().hex}"
+    """A fresh folder for the tables of one run, below one folder per application that may go when it ends."""
+    return f"{shared_folder(spark)}/argweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def write_out(df: DataFrame, path: str) -> DataFrame:

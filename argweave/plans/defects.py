@@ -11,7 +11,7 @@ CYCLE = 50
 
 
 def with_defects(tables: GraphTables) -> GraphTables:
-    return GraphTables(_graphs(tables.graphs), _nodes(tables.nodes), _edges(tables.edges))
+    return GraphTables(defective_graphs(tables.graphs), defective_nodes(tables.nodes), defective_edges(tables.edges))
 
 
 def _hit(graph: str, remainder: int, where: Column | None = None) -> Column:
@@ -33,7 +33,7 @@ def _with_copies(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
-def _edges(edges: DataFrame) -> DataFrame:
+def defective_edges(edges: DataFrame) -> DataFrame:
     top = F.col("to_node_id").startswith("R")
     missing = F.concat(F.lit("missing-"), "id")
     null = F.lit(None)
@@ -53,7 +53,7 @@ def _edges(edges: DataFrame) -> DataFrame:
     return _replace(_with_copies(edges, _hit("graph_id", 9, top)), changes)
 
 
-def _nodes(nodes: DataFrame) -> DataFrame:
+def defective_nodes(nodes: DataFrame) -> DataFrame:
     claim = F.col("kind") == "claim"
     changes = [
         ("prior", _hit("graph_id", 12, claim), F.lit(1.2)),
@@ -67,7 +67,7 @@ def _nodes(nodes: DataFrame) -> DataFrame:
     return _replace(_with_copies(nodes, _hit("graph_id", 19, claim)), changes)
 
 
-def _graphs(graphs: DataFrame) -> DataFrame:
+def defective_graphs(graphs: DataFrame) -> DataFrame:
     changes = [
         ("title", _hit("id", 20), F.lit(None)),
         ("slug", _hit("id", 21), F.lit("duplicate")),

@@ -11,11 +11,21 @@ from argweave.functions import display, fields
 from argweave.operators import cascade, details, layout, lookup, overview, quality, views
 from argweave.operators import documents as docs
 from argweave.operators.lineage import run_folder
-from argweave.plans.defects import with_defects
+from argweave.plans.defects import defective_edges, defective_graphs, defective_nodes, with_defects
 from argweave.schemas import DOCUMENT, GraphTables
 from argweave.sources import documents as document_files
 from argweave.sources import tables as stores
-from argweave.sources.corpus import commerce, dialogue, table
+from argweave.sources.corpus import (
+    commerce,
+    commerce_edges,
+    commerce_graphs,
+    commerce_nodes,
+    dialogue,
+    dialogue_edges,
+    dialogue_graphs,
+    dialogue_nodes,
+    table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,42 +78,42 @@ def _flat_nodes(nodes: DataFrame) -> DataFrame:
 
 @query
 def graphs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commerce(spark, sf_dir).graphs.select(*lookup.CATALOG)
+    return commerce_graphs(spark, sf_dir).select(*lookup.CATALOG)
 
 
 @query
 def nodes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.node_rows(commerce(spark, sf_dir).nodes)
+    return lookup.node_rows(commerce_nodes(spark, sf_dir))
 
 
 @query
 def edges_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.edge_rows(commerce(spark, sf_dir, weights=False).edges)
+    return lookup.edge_rows(commerce_edges(spark, sf_dir, weights=False))
 
 
 @query
 def nodes_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_nodes(commerce(spark, sf_dir).nodes)
+    return _flat_nodes(commerce_nodes(spark, sf_dir))
 
 
 @query
 def edges_full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(commerce(spark, sf_dir).edges)
+    return _doubles(commerce_edges(spark, sf_dir))
 
 
 @query
 def dialogue_graphs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue(spark, sf_dir).graphs.select(*lookup.CATALOG)
+    return dialogue_graphs(spark, sf_dir).select(*lookup.CATALOG)
 
 
 @query
 def dialogue_nodes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_nodes(dialogue(spark, sf_dir).nodes)
+    return _flat_nodes(dialogue_nodes(spark, sf_dir))
 
 
 @query
 def dialogue_edges_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(dialogue(spark, sf_dir).edges)
+    return _doubles(dialogue_edges(spark, sf_dir))
 
 
 # Lookup
@@ -131,26 +141,24 @@ def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_by_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.graphs_by_slug(commerce(spark, sf_dir).graphs, _requests(spark, sf_dir))
+    return lookup.graphs_by_slug(commerce_graphs(spark, sf_dir), _requests(spark, sf_dir))
 
 
 @query
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir)
-    found = lookup.graphs_by_slug(tables.graphs, _requests(spark, sf_dir))
-    return lookup.node_rows(lookup.children(tables.nodes, found))
+    found = lookup.graphs_by_slug(commerce_graphs(spark, sf_dir), _requests(spark, sf_dir))
+    return lookup.node_rows(lookup.children(commerce_nodes(spark, sf_dir), found))
 
 
 @query
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
-    found = lookup.graphs_by_slug(tables.graphs, _requests(spark, sf_dir))
-    return lookup.edge_rows(lookup.children(tables.edges, found))
+    found = lookup.graphs_by_slug(commerce_graphs(spark, sf_dir), _requests(spark, sf_dir))
+    return lookup.edge_rows(lookup.children(commerce_edges(spark, sf_dir, weights=False), found))
 
 
 @query
 def single_graph_per_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.at_most_one(commerce(spark, sf_dir).graphs)
+    return lookup.at_most_one(commerce_graphs(spark, sf_dir))
 
 
 @query
@@ -161,14 +169,13 @@ def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def strict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
     known = table(spark, sf_dir, "orders").select(F.concat(F.lit("customer-"), "o_custkey").alias("slug"))
-    return lookup.strict_lookup(tables.graphs.select("slug", "title", "description"), known)
+    return lookup.strict_lookup(commerce_graphs(spark, sf_dir).select("slug", "title", "description"), known)
 
 
 @query
 def node_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = lookup.pick_nodes(commerce(spark, sf_dir).nodes, _selection(spark, sf_dir))
+    picked = lookup.pick_nodes(commerce_nodes(spark, sf_dir), _selection(spark, sf_dir))
     return picked.select("graph_id", "id", "kind", "title")
 
 
@@ -269,12 +276,12 @@ def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.count_rows(commerce(spark, sf_dir).nodes, "node_count")
+    return overview.count_rows(commerce_nodes(spark, sf_dir), "node_count")
 
 
 @query
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.count_rows(commerce(spark, sf_dir, weights=False).edges, "edge_count")
+    return overview.count_rows(commerce_edges(spark, sf_dir, weights=False), "edge_count")
 
 
 @query
@@ -299,12 +306,12 @@ def kind_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def node_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commerce(spark, sf_dir).nodes.select("id", display.node_symbol(F.col("kind")).alias("symbol"))
+    return commerce_nodes(spark, sf_dir).select("id", display.node_symbol(F.col("kind")).alias("symbol"))
 
 
 @query
 def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = commerce(spark, sf_dir).nodes.unionByName(dialogue(spark, sf_dir).nodes)
+    nodes = commerce_nodes(spark, sf_dir).unionByName(dialogue_nodes(spark, sf_dir))
     return nodes.select("id", display.display_title(F.col("title")).alias("display_title"))
 
 
@@ -312,7 +319,7 @@ def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("kind")
     value = display.metric_value(kind, F.col("importance"), F.col("confidence"), F.col("evidence"))
-    return commerce(spark, sf_dir).nodes.select(
+    return commerce_nodes(spark, sf_dir).select(
         "id", display.metric_label(kind).alias("metric_label"), value.alias("metric_value")
     )
 
@@ -337,7 +344,7 @@ def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence as JSON text, and its fields read from the text."""
     parsed = fields.parse_evidence(F.to_json("evidence"))
-    nodes = commerce(spark, sf_dir).nodes
+    nodes = commerce_nodes(spark, sf_dir)
     return nodes.select("id", parsed.alias("e")).select(
         "id", F.col("e.type").alias("type"), F.col("e.score").alias("score"), F.col("e.rationale").alias("rationale")
     )
@@ -346,7 +353,7 @@ def evidence_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def column_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a load fills in."""
-    nodes = fields.with_defaults(commerce(spark, sf_dir).nodes)
+    nodes = fields.with_defaults(commerce_nodes(spark, sf_dir))
     return nodes.select(
         "id",
         F.size("tags").alias("tag_count"),
@@ -370,54 +377,54 @@ def offset_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flow_nodes(commerce(spark, sf_dir).nodes)
+    return views.flow_nodes(commerce_nodes(spark, sf_dir))
 
 
 @query
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flow_edges(commerce(spark, sf_dir, weights=False).edges)
+    return views.flow_edges(commerce_edges(spark, sf_dir, weights=False))
 
 
 @query
 def dialogue_flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flow_nodes(dialogue(spark, sf_dir).nodes)
+    return views.flow_nodes(dialogue_nodes(spark, sf_dir))
 
 
 @query
 def selected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = commerce(spark, sf_dir).nodes.select("graph_id", "id")
+    nodes = commerce_nodes(spark, sf_dir).select("graph_id", "id")
     return views.mark_selected(nodes, _selection(spark, sf_dir))
 
 
 @query
 def node_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.node_cards(views.flow_nodes(commerce(spark, sf_dir).nodes))
+    return views.node_cards(views.flow_nodes(commerce_nodes(spark, sf_dir)))
 
 
 @query
 def node_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.node_headers(commerce(spark, sf_dir).nodes)
+    return details.node_headers(commerce_nodes(spark, sf_dir))
 
 
 @query
 def node_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.node_tags(commerce(spark, sf_dir).nodes)
+    return details.node_tags(commerce_nodes(spark, sf_dir))
 
 
 @query
 def node_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.node_details(commerce(spark, sf_dir).nodes)
+    return details.node_details(commerce_nodes(spark, sf_dir))
 
 
 @query
 def dialogue_node_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.node_details(dialogue(spark, sf_dir).nodes)
+    return details.node_details(dialogue_nodes(spark, sf_dir))
 
 
 @query
 def attribute_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes of each graph show each attribute."""
-    shown = details.node_details(commerce(spark, sf_dir).nodes)
+    shown = details.node_details(commerce_nodes(spark, sf_dir))
     return shown.groupBy("graph_id", "label").agg(F.count("*").alias("nodes"))
 
 
@@ -429,8 +436,13 @@ def _defective(spark: SparkSession, sf_dir: str, weights: bool = False) -> Graph
 
 
 def _edge_rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    report = quality.check_rows(_defective(spark, sf_dir, weights=rule == "ck_edges_weight").edges, "edges")
-    return report.where(F.col("rule") == rule)
+    edges = defective_edges(commerce_edges(spark, sf_dir, weights=rule == "ck_edges_weight"))
+    return quality.check_rows(edges, "edges").where(F.col("rule") == rule)
+
+
+def _node_rules(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
+    report = quality.check_rows(defective_nodes(commerce_nodes(spark, sf_dir)), "nodes")
+    return report.where(F.col("rule").isin(*rules))
 
 
 @query
@@ -460,15 +472,13 @@ def violations_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violations_node_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = quality.check_rows(_defective(spark, sf_dir).nodes, "nodes")
-    ranges = [f"ck_nodes_{name}" for name in ("prior", "weight", "confidence", "importance")]
-    return report.where(F.col("rule").isin(ranges))
+    ranges = (f"ck_nodes_{name}" for name in ("prior", "weight", "confidence", "importance"))
+    return _node_rules(spark, sf_dir, *ranges)
 
 
 @query
 def violations_node_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = quality.check_rows(_defective(spark, sf_dir).nodes, "nodes")
-    return report.where(F.col("rule") == "ck_nodes_kind")
+    return _node_rules(spark, sf_dir, "ck_nodes_kind")
 
 
 @query
@@ -488,7 +498,7 @@ def violations_primary_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violations_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duplicate_keys(_defective(spark, sf_dir).graphs, "graphs", "slug")
+    return quality.duplicate_keys(defective_graphs(commerce_graphs(spark, sf_dir)), "graphs", "slug")
 
 
 @query
@@ -505,14 +515,14 @@ def violations_edge_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violations_edge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _defective(spark, sf_dir)
-    return quality.dangling(tables.edges, "edges", "graph_id", tables.graphs)
+    edges = defective_edges(commerce_edges(spark, sf_dir, weights=False))
+    return quality.dangling(edges, "edges", "graph_id", defective_graphs(commerce_graphs(spark, sf_dir)))
 
 
 @query
 def violations_node_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _defective(spark, sf_dir)
-    return quality.dangling(tables.nodes, "nodes", "graph_id", tables.graphs)
+    nodes = defective_nodes(commerce_nodes(spark, sf_dir))
+    return quality.dangling(nodes, "nodes", "graph_id", defective_graphs(commerce_graphs(spark, sf_dir)))
 
 
 @query
@@ -583,7 +593,7 @@ def typed_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loose_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = commerce(spark, sf_dir).nodes
+    nodes = commerce_nodes(spark, sf_dir)
     text = {name: F.col(name).cast("string") for name in ("graph_id", "prior", "weight", "confidence", "importance")}
     tags = F.concat(F.lit("{"), F.array_join("tags", ","), F.lit("}"))
     return nodes.withColumns({**text, "tags": tags, "evidence": F.to_json("evidence")})

@@ -17,42 +17,65 @@ from pyspark.sql import types as T
 from argweave.schemas import EDGES, GRAPHS, NODES, GraphTables
 
 
+# Columns used of each table. Given here, so that no job has to look for them.
+COLUMNS = {
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "supplier": "s_suppkey bigint",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_returnflag string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def commerce(spark: SparkSession, sf_dir: str, weights: bool = True) -> GraphTables:
-    """Graphs per customer. `weights=False` leaves edge weights NULL and saves the aggregate and join behind them."""
+    """Graphs per customer."""
     return GraphTables(
-        _commerce_graphs(spark, sf_dir), _commerce_nodes(spark, sf_dir), _commerce_edges(spark, sf_dir, weights)
+        commerce_graphs(spark, sf_dir), commerce_nodes(spark, sf_dir), commerce_edges(spark, sf_dir, weights)
     )
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> GraphTables:
     """Graphs per conversation."""
-    turns = table(spark, sf_dir, "conversations")
-    conv, turn = F.col("conv_id"), F.col("turn")
-    user = F.col("role") == "user"
+    return GraphTables(
+        dialogue_graphs(spark, sf_dir), dialogue_nodes(spark, sf_dir), dialogue_edges(spark, sf_dir)
+    )
+
 
-    graphs = _typed(
-        turns.select("conv_id").distinct(),
+def dialogue_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return _typed(
+        table(spark, sf_dir, "conversations").select("conv_id").distinct(),
         GRAPHS,
         id=conv,
         slug=F.concat(F.lit("conv-"), conv),
         title=F.concat(F.lit("Conversation "), conv),
     )
-    nodes = _typed(
-        turns,
+
+
+def dialogue_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turn = F.col("conv_id"), F.col("turn")
+    return _typed(
+        table(spark, sf_dir, "conversations"),
         NODES,
         id=_dashed("T", conv, turn),
         graph_id=conv,
-        kind=F.when(turn == 0, "root").when(user, "counter").otherwise("premise"),
+        kind=F.when(turn == 0, "root").when(F.col("role") == "user", "counter").otherwise("premise"),
         title=F.col("text"),
         body_text=F.col("text"),
         tags=F.array("role"),
     )
-    edges = _typed(
-        turns.where(turn > 0),
+
+
+def dialogue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turn = F.col("conv_id"), F.col("turn")
+    user = F.col("role") == "user"
+    return _typed(
+        table(spark, sf_dir, "conversations").where(turn > 0),
         EDGES,
         id=_dashed("E-", conv, turn),
         graph_id=conv,
@@ -62,7 +85,6 @@ def dialogue(spark: SparkSession, sf_dir: str) -> GraphTables:
         weight=F.lit(1),
         polarity=F.when(user, -1).otherwise(1),
     )
-    return GraphTables(graphs, nodes, edges)
 
 
 def _typed(df: DataFrame, schema: T.StructType, **values: Column) -> DataFrame:
@@ -110,7 +132,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(owners, "okey")
 
 
-def _commerce_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commerce_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return _typed(
         table(spark, sf_dir, "customer"),
@@ -122,7 +144,7 @@ def _commerce_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust, order = F.col("c_custkey"), F.col("o_orderkey")
     roots = _typed(
         table(spark, sf_dir, "customer"),
@@ -183,7 +205,8 @@ def _commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.unionByName(claims).unionByName(details)
 
 
-def _commerce_edges(spark: SparkSession, sf_dir: str, weights: bool) -> DataFrame:
+def commerce_edges(spark: SparkSession, sf_dir: str, weights: bool = True) -> DataFrame:
+    """Edges. `weights=False` leaves weights NULL and saves the aggregate and join behind them."""
     okey, line, supp, returned, cust = map(F.col, ("okey", "line", "supp", "returned", "cust"))
     # One row per delivery to a line, per line of an order, and per order of a customer.
     delivery, per_line = F.col("no_supp") == 0, F.col("no_line") == 0

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from argweave.schemas import GraphTables
 from argweave.sources.tables import typed
@@ -20,22 +19,36 @@ def options(url: str | None, **settings: str) -> dict[str, str]:
 
 
 def read_database(spark: SparkSession, url: str | None, splits: int = 200, **settings: str) -> GraphTables:
-    """The tables over JDBC. Nodes and edges are read in `splits` ranges of graph id, each its own query."""
+    """The tables over JDBC, nodes and edges in about `splits` queries of like size each."""
     base = options(url, **settings)
-    graphs = _read(spark, base, "graphs", "id", splits)
-    nodes = _read(spark, base, "nodes", "graph_id", splits)
-    edges = _read(spark, base, "edges", "graph_id", splits)
+    graphs = spark.read.format("jdbc").options(**base, dbtable="graphs").load()
+    nodes = _read_split(spark, base, "nodes", splits)
+    edges = _read_split(spark, base, "edges", splits)
     return GraphTables(typed(graphs, "graphs"), typed(nodes, "nodes"), typed(edges, "edges"))
 
 
-def _read(spark: SparkSession, base: dict[str, str], table: str, column: str, splits: int) -> DataFrame:
-    reader = spark.read.format("jdbc").options(**base)
-    # The database answers this with the index on the column; one row comes back.
-    bounds = f"(SELECT min({column}) AS low, max({column}) AS high FROM {table}) AS bounds"
-    low, high = reader.option("dbtable", bounds).load().select(F.col("low"), F.col("high")).first()
-    reader = spark.read.format("jdbc").options(**base).option("dbtable", table)
-    if low is None or low == high:
-        return reader.load()
-    return reader.options(
-        partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(splits)
-    ).load()
+def _read_split(spark: SparkSession, base: dict[str, str], table: str, splits: int) -> DataFrame:
+    # At most `splits` rows come to the driver.
+    bounds = spark.read.format("jdbc").options(**base, query=bounds_query(table, splits)).load().collect()
+    url, properties = base["url"], {key: value for key, value in base.items() if key != "url"}
+    return spark.read.jdbc(url, table, predicates=range_predicates(bounds), properties=properties)
+
+
+def bounds_query(table: str, splits: int) -> str:
+    """Every n-th (graph_id, id) in order. Ranges of both together also cut through a very large graph."""
+    return (
+        "SELECT graph_id, id, place FROM ("
+        f"SELECT graph_id, id, row_number() OVER (ORDER BY graph_id, id) AS place, count(*) OVER () AS total FROM {table}"
+        f") ranked WHERE place % CAST(ceil(total / {splits}.0) AS bigint) = 0"
+    )
+
+
+def range_predicates(bounds: list[Row]) -> list[str]:
+    """Conditions that together hold exactly once for every row."""
+    # In the order of the database, whose collation may differ from the order of strings here.
+    ordered = sorted(bounds, key=lambda row: row["place"])
+    ends = ["({}, '{}')".format(row["graph_id"], row["id"].replace("'", "''")) for row in ordered]
+    if not ends:
+        return ["1 = 1"]
+    inner = [f"(graph_id, id) > {low} AND (graph_id, id) <= {high}" for low, high in zip(ends, ends[1:])]
+    return [f"(graph_id, id) <= {ends[0]}", *inner, f"(graph_id, id) > {ends[-1]}"]
