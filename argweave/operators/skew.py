@@ -25,15 +25,13 @@ def split_groups(
 
     Group columns must not be NULL. The input is counted once here, so it should be stored or cheap.
     """
-    spark = df.sparkSession
-    folder = run_folder(spark)
     sizes = df.groupBy(*group).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
-    # At most total / limit rows; read back from files, so that the joins below know its size.
-    large = write_out(sizes, f"{folder}/large")
-    rows = large.agg(F.sum("rows")).first()[0]
+    rows = sizes.agg(F.sum("rows")).first()[0]
     if rows is None:
         return df, None
-    names = large.select(*group)
+    folder = run_folder(df.sparkSession)
+    # At most rows / limit names; read back from files, so that the joins below know its size.
+    names = write_out(sizes.select(*group), f"{folder}/large")
     ranged = (
         df.join(names, list(group), "left_semi")
         .repartitionByRange(2 * rows // limit + 1, *group, *key)
