@@ -26,26 +26,26 @@ def node_details(nodes: DataFrame) -> DataFrame:
     one by one.
     """
     evidence = F.col("evidence")
-    tags = F.when(F.size("tags") > 0, F.array_join("tags", ", "))
-    entries = [
-        ("Category", _shown(F.col("category"))),
-        ("Tags", tags),
-        ("Prior", format_metric(F.col("prior"))),
-        ("Confidence", format_metric(F.col("confidence"))),
-        ("Weight", format_metric(F.col("weight"))),
-        ("Importance", format_metric(F.col("importance"))),
-        ("Evidence", F.when(evidence.isNotNull(), F.coalesce(evidence["type"], F.lit("")))),
-        ("Score", format_metric(evidence["score"])),
-        ("Rationale", _shown(evidence["rationale"])),
-    ]
+    values = {
+        "Category": _shown(F.col("category")),
+        "Tags": F.when(F.size("tags") > 0, F.array_join("tags", ", ")),
+        "Prior": format_metric(F.col("prior")),
+        "Confidence": format_metric(F.col("confidence")),
+        "Weight": format_metric(F.col("weight")),
+        "Importance": format_metric(F.col("importance")),
+        "Evidence": F.when(evidence.isNotNull(), F.coalesce(evidence["type"], F.lit(""))),
+        "Score": format_metric(evidence["score"]),
+        "Rationale": _shown(evidence["rationale"]),
+    }
+    # Texts are made in a projection of their own, which evaluates shared parts once; a generator would not.
+    texts = nodes.select("graph_id", "id", *(value.alias(label) for label, value in values.items()))
     rows = F.array(
         *(
-            F.struct(F.lit(ord).alias("ord"), F.lit(label).alias("label"), value.alias("value"))
-            for ord, (label, value) in enumerate(entries, start=1)
+            F.struct(F.lit(ord).alias("ord"), F.lit(label).alias("label"), F.col(label).alias("value"))
+            for ord, label in enumerate(values, start=1)
         )
     )
-    present = F.filter(rows, lambda row: row["value"].isNotNull())
-    return nodes.select("graph_id", "id", F.inline(present))
+    return texts.select("graph_id", "id", F.inline(rows)).where(F.col("value").isNotNull())
 
 
 def _shown(text: Column) -> Column:

@@ -56,16 +56,16 @@ def check_rows(rows: DataFrame, table: str) -> DataFrame:
     schema = {"graphs": GRAPHS, "nodes": NODES, "edges": EDGES}[table]
     checks = {"graphs": dict, "nodes": _node_checks, "edges": _edge_checks}[table]()
     required = [f.name for f in stored(schema) if not f.nullable and f.name in rows.columns]
-    found = [_finding(rule, broken, detail) for rule, (broken, detail) in checks.items()]
-    found += [_finding(f"{table}_not_null", F.col(name).isNull(), F.lit(name)) for name in required]
-    broken = F.filter(F.array(*found), lambda finding: finding.isNotNull())
-    return rows.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("key"), F.inline(broken)).select(
-        *REPORT
-    )
-
-
-def _finding(rule: str, broken: Column, detail: Column) -> Column:
-    return F.when(broken, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+    rules = [(rule, broken, detail) for rule, (broken, detail) in checks.items()]
+    rules += [(f"{table}_not_null", F.col(name).isNull(), F.lit(name)) for name in required]
+    # Sound rows are filtered out before findings are put together.
+    unsound = rows.where(reduce(Column.__or__, (broken for _, broken, _ in rules)))
+    found = [
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))) for rule, broken, detail in rules
+    ]
+    return unsound.select(
+        F.lit(table).alias("table"), F.col("id").cast("string").alias("key"), F.inline(F.array_compact(F.array(*found)))
+    ).select(*REPORT)
 
 
 def duplicate_keys(rows: DataFrame, table: str, column: str = "id") -> DataFrame:
@@ -73,14 +73,22 @@ def duplicate_keys(rows: DataFrame, table: str, column: str = "id") -> DataFrame
     primary = column == KEYS[table][0]
     rule = f"{table}_pkey" if primary else f"{table}_{column}_key"
     return (
-        rows.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("string").alias("key"))
-        .agg(F.count("*").alias("rows"))
+        _key_counts(rows, column)
         .where(F.col("rows") > 1)
-        .select(F.lit(rule).alias("rule"), F.lit(table).alias("table"), "key", F.col("rows").cast("string").alias("detail"))
+        .select(
+            F.lit(rule).alias("rule"),
+            F.lit(table).alias("table"),
+            F.col(column).cast("string").alias("key"),
+            F.col("rows").cast("string").alias("detail"),
+        )
     )
 
 
+def _key_counts(rows: DataFrame, column: str) -> DataFrame:
+    """Rows per key. Duplicates and all references to a table share this aggregate and its shuffle."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
+
+
 def dangling(rows: DataFrame, table: str, column: str, parents: DataFrame) -> DataFrame:
     """Rows whose `column` names no parent.
 
@@ -88,7 +96,8 @@ def dangling(rows: DataFrame, table: str, column: str, parents: DataFrame) -> Da
     partition by then. What comes out is usually little, and small enough to be broadcast to the rows.
     """
     keys = rows.select(column).where(F.col(column).isNotNull()).distinct()
-    missing = keys.join(parents.select(F.col("id").alias(column)), column, "left_anti")
+    known = _key_counts(parents, "id").select(F.col("id").alias(column))
+    missing = keys.join(known, column, "left_anti")
     return rows.join(missing, column, "left_semi").select(
         F.lit(f"{table}_{column}_fkey").alias("rule"),
         F.lit(table).alias("table"),
