@@ -69,4 +69,4 @@ def test_plans_have_no_pairwise_join_and_read_few_columns(spark, capsys, name):
 def test_no_local_checkpoints_and_no_forced_broadcasts():
     for path in (REPO / "argweave").rglob("*.py"):
         names = {node.attr for node in ast.walk(ast.parse(path.read_text())) if isinstance(node, ast.Attribute)}
-        assert not names & {"localCheckpoint", "broadcast", "crossJoin", "toPandas", "rdd_map"}, path
+        assert not names & {"localCheckpoint", "broadcast", "crossJoin", "toPandas"}, path
