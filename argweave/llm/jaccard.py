@@ -134,17 +134,14 @@ def _keys_of(rows: pa.Table) -> np.ndarray:
 
 
 def units(classes: DataFrame) -> DataFrame:
-    """(band, key, p, q, digest, block, keys): every class in every unit where it has company."""
-    in_bands = classes.select("digest", "keys", F.posexplode("keys").alias("band", "key"))
+    """(band, key, p, q, id, block, keys): every class in every unit where it has company."""
+    in_bands = classes.select("id", F.posexplode("keys").alias("band", "key"))
     crowd = store(in_bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "crowd")
-    met = in_bands.join(crowd, ["band", "key"])
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("band", "key", "digest", "keys", "block", other)
-    return dealt.select(
-        "band", "key", F.least("block", "other").cast("int").alias("p"), F.greatest("block", "other").cast("int").alias("q"), "digest", "block", "keys"
-    )
+    met = in_bands.join(crowd, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    met = store(met.select("id", "band", "key", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "met")
+    met = met.join(classes.select("id", "keys"), "id")
+    dealt = met.select("band", "key", "id", "keys", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("band", "key", F.least("block", "other").cast("int").alias("p"), F.greatest("block", "other").cast("int").alias("q"), "id", "block", "keys")
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -152,7 +149,7 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 
 def needed(met: DataFrame) -> DataFrame:
-    """(unit, digest, block, keys) of the classes with a pair to be verified in that unit."""
+    """(band, key, p, q, id, block, keys) of the classes with a pair to be verified in that unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (band, _, p, q), rows in _by_unit(batches):
@@ -188,7 +185,7 @@ def _verify(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], sim
 
 
 def verified(ready: DataFrame, similarity: float) -> DataFrame:
-    """(digest, other, links, classes): for each class of a unit its linked documents and classes there, and one
+    """(id, other, links, classes): for each class of a unit its linked documents and classes there, and one
     class that it hangs on in the unit's forest (NULL at a root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,15 +203,15 @@ def verified(ready: DataFrame, similarity: float) -> DataFrame:
                 root[np.isin(root, joined)] = joined[0]
             hit = np.flatnonzero(classes)
             if len(hit):
-                digest = rows.column("digest").combine_chunks()
-                other = [digest[int(root[k])].as_py() if root[k] != k else None for k in hit]
-                yield pa.RecordBatch.from_arrays([digest.take(pa.array(hit)), pa.array(other, pa.binary()), pa.array(links[hit]), pa.array(classes[hit])], names=["digest", "other", "links", "classes"])
+                ids = rows.column("id").to_numpy()
+                other = pa.array(ids[root[hit]], mask=root[hit] == hit)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), other, pa.array(links[hit]), pa.array(classes[hit])], names=["id", "other", "links", "classes"])
 
-    return _dealt(ready).mapInArrow(run, "digest binary, other binary, links long, classes long")
+    return _dealt(ready).mapInArrow(run, "id long, other long, links long, classes long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(digest, head): for each end of an edge (a, b) the least digest of its component. Each round links every node's
+    """(id, head): for each end of an edge (a, b) the least id of its component. Each round links every node's
     larger neighbours to its least one, then every node's neighbours to the least of all, until nothing changes; edge
     tables are stored, their number of rows never grows, and rounds go with the logarithm of the longest path."""
     edges = store(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -231,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = store(small.where("a != b").distinct(), "edges")
         after = edges.select(mark).head()
         if after == before:
-            return edges.select(F.col("a").alias("digest"), F.col("b").alias("head"))
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("head"))
         before = after
 
 
@@ -241,9 +238,9 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECA
     bands, rows = banding(similarity, recall)
     sign = store(signed(docs, bands, rows), "signed")
     classes = sign.where("digest is not null").groupBy("digest").agg(F.count("*").alias("members"), F.first("keys").alias("keys"), F.min("doc_id").alias("least_id"))
-    classes = store(classes, "classes")
-    want = store(needed(units(classes.select("digest", "keys"))), "needed")
-    who = store(want.select("digest").distinct().join(classes.select("digest", "members", "least_id"), "digest"), "who")
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    want = store(needed(units(classes.select("id", "keys"))), "needed")
+    who = store(want.select("id").distinct().join(classes.select("id", "digest", "members", "least_id"), "id"), "who")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -251,18 +248,18 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECA
             blobs = [keys[a:b].astype("<u8").tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digests(keys, places), pa.binary()), "shingles": pa.array(blobs, pa.binary())})
 
-    ids = who.select(F.col("least_id").alias("id")).distinct()
-    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    ids = who.select(F.col("least_id").alias("doc")).distinct()
+    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
     known = chosen.mapInArrow(sets, "digest binary, shingles binary").where("digest is not null").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    known = store(who.select("digest", "members").join(known, "digest"), "sets")
-    found = store(verified(want.join(known, "digest"), similarity), "found")
-    head = components(found.where("other is not null").select(F.col("digest").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
-    out = classes.select("digest", "members", "least_id").join(counts, "digest", "left").join(head, "digest", "left")
+    known = store(who.select("id", "digest", "members").join(known, "digest").drop("digest"), "sets")
+    found = store(verified(want.join(known, "id"), similarity), "found")
+    head = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
+    out = classes.select("id", "digest", "members", "least_id").join(counts, "id", "left").join(head, "id", "left")
     out = out.where("members > 1 or classes > 0")
     zero = F.lit(0).cast("long")
     out = out.select(
-        "digest", F.coalesce("head", "digest").alias("head"), "members", "least_id", F.coalesce("links", zero).alias("links"), F.coalesce("classes", zero).alias("classes")
+        "digest", F.coalesce("head", "id").alias("head"), "members", "least_id", F.coalesce("links", zero).alias("links"), F.coalesce("classes", zero).alias("classes")
     )
     return sign, store(out, "groups")
 
