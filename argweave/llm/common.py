@@ -46,9 +46,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """A text column as one array; NULL is the empty text."""
+    """A text column as one array with buffers of its own (some kernels read a slice's neighbours); NULL is the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    return pc.fill_null(column, "").take(pa.array(np.arange(len(column)))).cast(pa.large_string())
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
