@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 512
-_BYTE = np.zeros((256, 8), np.uint8)  # place of the k-th set bit of a byte
+BLOCK = 64
+_BYTE = np.zeros((256, 8), np.int64)  # place of the k-th set bit of a byte
 for _b in range(256):
     _on = [k for k in range(8) if _b >> k & 1]
     _BYTE[_b, : len(_on)] = _on
@@ -17,7 +17,8 @@ def _section(*parts: np.ndarray) -> bytes:
 
 
 def encode(values: np.ndarray) -> bytes:
-    """The file of rising (or equal) uint64 numbers below 2^63."""
+    """The file of rising (or equal) uint64 numbers below 2^63, at most 2^30 of them. Besides the sequence it has the
+    number of set bits before each 64 bits of the upper parts, which makes every select a search and one lookup."""
     values = values.astype(np.uint64)
     n = len(values)
     top = int(values[-1]) if n else 0
@@ -28,7 +29,7 @@ def encode(values: np.ndarray) -> bytes:
     upper = np.zeros(blocks * BLOCK, np.uint8)
     upper[high + np.arange(n)] = 1
     packed = np.packbits(upper, bitorder="little")
-    before = np.concatenate(([0], np.cumsum(upper.reshape(blocks, BLOCK).sum(axis=1, dtype=np.int64)))).astype("<i8")
+    before = np.concatenate(([0], np.cumsum(upper.reshape(blocks, BLOCK).sum(axis=1, dtype=np.int64)))).astype("<u4")
     lows = np.zeros(0, np.uint8)
     if low and n:
         spread = (values[:, None] >> np.arange(low, dtype=np.uint64)[None, :] & np.uint64(1)).astype(np.uint8) if n <= 1 << 16 else None
@@ -50,10 +51,10 @@ class EliasFano:
     def __init__(self, data: np.ndarray):
         self.n, self.low, blocks, lows = (int(x) for x in data[:32].view("<u8"))
         at = 32
-        self.before = data[at : at + 8 * (blocks + 1)].view("<i8")
-        at += 8 * (blocks + 1)
-        self.upper = data[at : at + blocks * BLOCK // 8]
-        at += blocks * BLOCK // 8
+        self.before = data[at : at + 4 * (blocks + 1)].view("<u4")
+        at += 8 * (blocks // 2 + 1)
+        self.upper = data[at : at + 8 * blocks]
+        at += 8 * blocks
         raw = data[at : at + lows]
         self.lows = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (lows - 7,), (1,))
         self.size = at + lows
@@ -61,21 +62,18 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th (from 0) bit that is set, or not set."""
-        before = self.before if one else np.arange(len(self.before)) * BLOCK - self.before
-        block = np.searchsorted(before, k, "right") - 1
-        left = k - before[block]
-        chunk = self.upper.reshape(-1, BLOCK // 64, 8).view("<u8")[block, :, 0]
+        before = self.before if one else (np.arange(len(self.before)) * BLOCK - self.before).astype(np.uint32)
+        word = np.searchsorted(before, k.astype(np.uint32), "right") - 1
+        left = k - before[word]
+        octets = self.upper.reshape(-1, 8)[word]
         if not one:
-            chunk = ~chunk
-        counts = np.bitwise_count(chunk).astype(np.int64).cumsum(axis=1)
-        word = (counts <= left[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        left = left - np.where(word > 0, counts[row, word - 1], 0)
-        octets = np.ascontiguousarray(chunk[row, word]).view(np.uint8).reshape(-1, 8)
-        counts = np.bitwise_count(octets).astype(np.int64).cumsum(axis=1)
-        octet = (counts <= left[:, None]).sum(axis=1)
-        left = left - np.where(octet > 0, counts[row, octet - 1], 0)
-        return block * BLOCK + word * 64 + octet * 8 + _BYTE[octets[row, octet], left]
+            octets = ~octets
+        counts = np.bitwise_count(octets).cumsum(axis=1, dtype=np.uint8)
+        octet = (counts <= left[:, None].astype(np.uint8)).sum(axis=1, dtype=np.int64)
+        flat = np.arange(0, 8 * len(k), 8) + octet
+        own = octets.ravel()[flat]
+        left = left - (counts.ravel()[flat] - np.bitwise_count(own))
+        return word * BLOCK + octet * 8 + _BYTE[own, left]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -100,17 +98,18 @@ class EliasFano:
         zeros = self.bits - int(self.before[-1])
         asked = np.flatnonzero(high < zeros)
         high, want = high[asked], values[asked] & np.uint64((1 << self.low) - 1)
-        start = np.zeros(len(asked), np.int64)
-        some = high > 0
-        start[some] = self._select(high[some] - 1, False) - (high[some] - 1)
-        end = self._select(high, False) - high
-        at = start
-        open_ = np.flatnonzero(at < end)
+        bit = np.zeros(len(asked), np.int64)  # where the run of this high part begins among the upper bits
+        some = np.flatnonzero(high > 0)
+        bit[some] = self._select(high[some] - 1, False) + 1
+        at = bit - high
+        open_ = np.arange(len(asked))
         while len(open_):  # runs are short: a few numbers share their high part
+            here = bit[open_]
+            open_ = open_[(self.upper[here >> 3] >> (here & 7).astype(np.uint8)) & 1 == 1]
             low = self._low(at[open_])
             hit = low == want[open_]
             out[asked[open_[hit]]] = at[open_[hit]]
-            on = open_[low < want[open_]]
-            at[on] += 1
-            open_ = on[at[on] < end[on]]
+            open_ = open_[low < want[open_]]
+            at[open_] += 1
+            bit[open_] += 1
         return out

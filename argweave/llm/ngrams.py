@@ -220,7 +220,8 @@ class Level2:
             if found is None:
                 continue
             first, contexts, pointers, successors, values = found
-            own, turn = np.unique(context[a:b], return_inverse=True)
+            fresh = np.concatenate(([True], context[a + 1 : b] != context[a : b - 1]))
+            own, turn = context[a:b][fresh], fresh.cumsum() - 1
             inside = own >= first
             slot = np.full(len(own), -1, np.int64)
             slot[inside] = contexts.find((own[inside] - first).astype(np.uint64))
@@ -371,15 +372,19 @@ def score(docs: DataFrame, shape: Shape) -> DataFrame:
             context = np.empty_like(sequence)
             context[1:] = sequence[:-1]
             context[ends[:-1]] = sequence[ends[1:] - 1]
-            code = np.sort(context * len(names) + sequence)
-            pairs = code[np.concatenate(([True], code[1:] != code[:-1]))] if len(code) else code
+            code = context * len(names) + sequence
+            order = np.argsort(code)
+            code = code[order]
+            fresh = np.concatenate(([True], code[1:] != code[:-1]))
+            pairs = code[fresh]
             first, second = np.divmod(pairs, max(1, len(names)))
             value = np.log10(MU / (count[first] + MU)) + base[second]
             real = np.flatnonzero((number[first] >= 0) & (number[second] >= 0))
             f, g = first[real], second[real]
             found = level2.look(number[f], number[g], _pair_shard(before[f], count[f], number[g], shape))
             value[real] = np.where(np.isnan(found), value[real], found)
-            scored = value[np.searchsorted(pairs, context * len(names) + sequence)]
+            scored = np.empty(len(sequence))
+            scored[order] = value[fresh.cumsum() - 1]
             out = (np.diff(ends), sums(count[sequence] > 0, ends), np.full(len(ends) - 1, shape.n), _added(base[sequence], ends), _added(scored, ends))
             columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c) for c in out[3:])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
