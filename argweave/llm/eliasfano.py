@@ -98,18 +98,18 @@ class EliasFano:
         zeros = self.bits - int(self.before[-1])
         asked = np.flatnonzero(high < zeros)
         high, want = high[asked], values[asked] & np.uint64((1 << self.low) - 1)
-        bit = np.zeros(len(asked), np.int64)  # where the run of this high part begins among the upper bits
+        start = np.zeros(len(asked), np.int64)
         some = np.flatnonzero(high > 0)
-        bit[some] = self._select(high[some] - 1, False) + 1
-        at = bit - high
-        open_ = np.arange(len(asked))
-        while len(open_):  # runs are short: a few numbers share their high part
-            here = bit[open_]
-            open_ = open_[(self.upper[here >> 3] >> (here & 7).astype(np.uint8)) & 1 == 1]
-            low = self._low(at[open_])
-            hit = low == want[open_]
-            out[asked[open_[hit]]] = at[open_[hit]]
-            open_ = open_[low < want[open_]]
-            at[open_] += 1
-            bit[open_] += 1
+        start[some] = self._select(high[some] - 1, False) - (high[some] - 1)
+        end = self._select(high, False) - high
+        low, top, open_ = start.copy(), end.copy(), np.flatnonzero(start < end)
+        while len(open_):  # within the numbers of one high part, which are many where a run is dense
+            middle = (low[open_] + top[open_]) >> 1
+            less = self._low(middle) < want[open_]
+            low[open_[less]] = middle[less] + 1
+            top[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < top[open_]]
+        inside = np.flatnonzero(low < end)
+        hit = inside[self._low(low[inside]) == want[inside]]
+        out[asked[hit]] = low[hit]
         return out
