@@ -38,9 +38,9 @@ from argweave.llm.eliasfano import EliasFano, encode
 
 MU, STEP = 50.0, 2000
 #: Bytes of text for each shard of a level.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Tokens whose pairs a task counts together before it sends them.
-GATHER = 6_000_000
+GATHER = 2_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b"") & (2**62 - 1))
 
 
@@ -365,7 +365,7 @@ def score(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level1, level2 = Level1(shape), Level2(shape)
-        for part in text_slices(batches, limit=24 << 20):
+        for part in text_slices(batches, limit=12 << 20):
             names, sequence, ends = tokens_of(texts_of(part.column("text")))
             number, count, before = level1.look(names)
             base = base_log(count, shape)
