@@ -56,6 +56,7 @@ def lookup(rows: DataFrame, requests: DataFrame) -> DataFrame:
 
 def strict_lookup(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """As `lookup`, but a slug that is not found is an error."""
+    # Fixed value: the text of the message.
     message = F.concat(F.lit("Fixture graph '"), F.col("slug"), F.lit("' was not found."))
     return lookup(rows, requests).where(F.assert_true("found", message).isNull()).drop("found")
 

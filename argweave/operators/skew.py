@@ -1,7 +1,8 @@
-"""Work per group that holds when one group has a large share of all rows.
+"""Ranks and lists per group that hold when one group has a large share of all rows.
 
-Groups up to a limit are handled as usual. The rows of larger groups are range-partitioned on group and key, written
-out, and carry the number of their range as `piece`, so that one group is many ordered pieces.
+Rows are range-partitioned on (group, key), whatever the sizes of the groups, and written out with the number of their
+range as piece. A row's rank is its place in the piece plus the rows of its group in earlier pieces. Lists are cut into
+pages by rank, so the cuts depend on the rows alone and not on how the input was partitioned.
 """
 
 from __future__ import annotations
@@ -14,66 +15,39 @@ from pyspark.sql import functions as F
 
 from argweave.operators.lineage import run_folder, write_out
 
-# Rows that one task may order in a window.
-WINDOW_LIMIT = 5_000_000
 
+def number_rows(df: DataFrame, group: Sequence[str], key: Sequence[str], into: str) -> DataFrame:
+    """Number the rows of each group from 0 in key order, as bigint. An empty `group` numbers all rows.
 
-def split_groups(
-    df: DataFrame, group: Sequence[str], key: Sequence[str], limit: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to `limit`, and rows of larger groups with `piece` (None if there is no such group).
-
-    Group columns must not be NULL. The input is counted once here, so it should be stored or cheap.
+    NULL is a group like any other. Rows that tie in group and key are numbered in any order. The input is read twice,
+    once for the bounds of the ranges, so it should be stored or cheap.
     """
-    sizes = df.groupBy(*group).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
-    rows = sizes.agg(F.sum("rows")).first()[0]
-    if rows is None:
-        return df, None
-    folder = run_folder(df.sparkSession)
-    # At most rows / limit names; read back from files, so that the joins below know its size.
-    names = write_out(sizes.select(*group), f"{folder}/large")
-    ranged = (
-        df.join(names, list(group), "left_semi")
-        .repartitionByRange(2 * rows // limit + 1, *group, *key)
-        .withColumn("piece", F.spark_partition_id())
-    )
-    return df.join(names, list(group), "left_anti"), write_out(ranged, f"{folder}/pieces")
-
-
-def number_rows(
-    df: DataFrame, group: Sequence[str], key: Sequence[str], into: str, limit: int = WINDOW_LIMIT
-) -> DataFrame:
-    """Number the rows of each group from 0 in key order. An empty `group` numbers all rows."""
     if not group:
-        return number_rows(df.withColumn("_all", F.lit(0)), ["_all"], key, into, limit).drop("_all")
-    whole, split = split_groups(df, group, key, limit)
-    numbered = whole.withColumn(into, F.row_number().over(W.partitionBy(*group).orderBy(*key)) - 1)
-    if split is None:
-        return numbered
-    before = W.partitionBy(*group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+        return number_rows(df.withColumn("_all", F.lit(0)), ["_all"], key, into).drop("_all")
+    ranged = df.repartitionByRange(*group, *key).withColumn("_piece", F.spark_partition_id())
+    ranged = write_out(ranged, f"{run_folder(df.sparkSession)}/ranged")
+    # A piece starts inside at most one group, so no more rows than pieces are left here.
+    earlier = W.partitionBy(*group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        split.groupBy(*group, "piece")
+        ranged.groupBy(*group, "_piece")
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .withColumn("_start", F.sum("_rows").over(earlier))
+        .where("_start > 0")
+        .select(*(F.col(g).alias(f"_start_{g}") for g in group), F.col("_piece").alias("_start_piece"), "_start")
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"_start_{g}")) for g in group]
+    inside = F.row_number().over(W.partitionBy(*group, "_piece").orderBy(*key)) - 1
+    numbered = ranged.withColumn("_inside", inside).join(
+        starts, [*same, F.col("_piece") == F.col("_start_piece")], "left"
     )
-    inside = F.row_number().over(W.partitionBy(*group, "piece").orderBy(*key)) - 1
-    pieces = split.withColumn("_inside", inside).join(starts, [*group, "piece"])
-    pieces = pieces.withColumn(into, F.col("_start") + F.col("_inside")).drop("piece", "_start", "_inside")
-    return numbered.withColumn(into, F.col(into).cast("bigint")).unionByName(pieces)
+    rank = F.coalesce("_start", F.lit(0).cast("bigint")) + F.col("_inside")
+    return numbered.select(*df.columns, rank.alias(into))
 
 
-def list_groups(df: DataFrame, group: str, item: str, into: str, limit: int) -> DataFrame:
-    """Collect `item`, a struct starting with the order key `id`, into one ordered list per group.
+def list_groups(df: DataFrame, group: str, item: str, into: str, page: int) -> DataFrame:
+    """Collect `item`, a struct starting with the order key `id`, into ordered lists of `page` elements.
 
-    A group above `limit` gives several rows, numbered by `part`; their lists follow each other.
+    Pages are numbered by `part`: element n of a group is in part n div `page`. Only a group's last page may be shorter.
     """
-    whole, split = split_groups(df, [group], ["id"], limit)
-    collect = F.sort_array(F.collect_list(item)).alias(into)
-    lists = whole.groupBy(group).agg(collect).select(group, F.lit(0).alias("part"), into)
-    if split is None:
-        return lists
-    pieces = split.select(group, "piece").distinct()
-    parts = pieces.withColumn("part", F.row_number().over(W.partitionBy(group).orderBy("piece")) - 1)
-    split_lists = split.groupBy(group, "piece").agg(collect).join(parts, [group, "piece"])
-    return lists.unionByName(split_lists.select(group, "part", into))
+    paged = number_rows(df, [group], ["id"], "_rank").withColumn("part", F.floor(F.col("_rank") / page).cast("int"))
+    return paged.groupBy(group, "part").agg(F.sort_array(F.collect_list(item)).alias(into))

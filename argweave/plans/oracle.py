@@ -311,6 +311,25 @@ def _documents(node: str, edge: str) -> str:
     """
 
 
+# Pages of 16 nodes and 16 edges.
+PAGES = f"""
+SELECT slug, coalesce(p.part, 0) AS part, title, description, CAST(coalesce(node_count, 0) AS INTEGER) AS node_count,
+       CAST(coalesce(edge_count, 0) AS INTEGER) AS edge_count, coalesce(node_list, '') AS node_list,
+       coalesce(edge_list, '') AS edge_list
+FROM graphs g
+LEFT JOIN (
+  SELECT * FROM (
+    SELECT graph_id, part, count(*) AS node_count, string_agg({NARROW_NODE}, '|' ORDER BY id) AS node_list
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY graph_id ORDER BY id) - 1) // 16 AS INTEGER) AS part FROM nodes)
+    GROUP BY graph_id, part
+  ) FULL JOIN (
+    SELECT graph_id, part, count(*) AS edge_count, string_agg({NARROW_EDGE}, '|' ORDER BY id) AS edge_list
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY graph_id ORDER BY id) - 1) // 16 AS INTEGER) AS part FROM edges)
+    GROUP BY graph_id, part
+  ) USING (graph_id, part)
+) p ON p.graph_id = g.id
+"""
+
 OVERVIEW = """
 SELECT title, description, coalesce(n.node_count, 0) AS node_count, coalesce(e.edge_count, 0) AS edge_count, slug
 FROM graphs g
@@ -331,8 +350,8 @@ layers AS (
 """
 
 POSITIONS = """
-SELECT graph_id, id, layer, CAST(slot AS INTEGER) AS slot, 24 + layer * 330 AS x,
-       CAST(24 + slot * 142 AS INTEGER) AS y, 'left' AS "sourcePosition", 'right' AS "targetPosition"
+SELECT graph_id, id, layer, CAST(slot AS BIGINT) AS slot, 24 + layer * 330 AS x,
+       CAST(24 + slot * 142 AS BIGINT) AS y, 'left' AS "sourcePosition", 'right' AS "targetPosition"
 FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, layer ORDER BY id) - 1 AS slot FROM layers)
 """
 
@@ -389,6 +408,14 @@ ORACLE: dict[str, str] = {
     WHERE EXISTS (SELECT 1 FROM selection s WHERE s.graph_id = n.graph_id AND s.node_id = n.id)
     """,
     "graph_documents": _with(COMMERCE) + _documents(NARROW_NODE, NARROW_EDGE),
+    "document_pages": _with(COMMERCE) + PAGES,
+    "requested_documents": _with(COMMERCE, REQUESTS)
+    + f"""
+    SELECT r.slug, coalesce(part, 0) AS part, title, description, node_count, edge_count, node_list, edge_list,
+           d.slug IS NOT NULL AS found
+    FROM (SELECT DISTINCT slug FROM requests) r
+    LEFT JOIN ({_documents(NARROW_NODE, NARROW_EDGE)}) d ON d.slug = r.slug
+    """,
     "graph_documents_full": _with(COMMERCE) + _documents(FULL_NODE, FULL_EDGE),
     "dialogue_documents": _with(DIALOGUE) + _documents(NARROW_NODE, NARROW_EDGE),
     "document_nodes_roundtrip": _with(COMMERCE, NUMBERED)
@@ -523,6 +550,8 @@ ORACLE: dict[str, str] = {
     SELECT f.* EXCLUDE (x, y), p.x, p.y, p."sourcePosition", p."targetPosition"
     FROM ({FLOW_NODES}) f JOIN ({POSITIONS}) p ON p.graph_id = f.graph_id AND p.id = f.id
     """,
+    # On the ring there is no layer to be right of.
+    "cyclic_positions": _with(DIALOGUE, "layers AS (SELECT graph_id, id, 0 AS layer FROM nodes)") + POSITIONS,
     # Every turn of a conversation with several turns lies on the ring; a single turn is a sink.
     "cyclic_layers": _with(DIALOGUE)
     + """

@@ -53,7 +53,7 @@ def _doubles(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.col(name).cast("double") for name in decimals})
 
 
-def _flat_nodes(nodes: DataFrame) -> DataFrame:
+def _flat_nodes(nodes: DataFrame, *extra: str) -> DataFrame:
     evidence = F.col("evidence")
     return _doubles(nodes).select(
         "id",
@@ -70,6 +70,7 @@ def _flat_nodes(nodes: DataFrame) -> DataFrame:
         evidence["type"].alias("evidence_type"),
         evidence["score"].alias("evidence_score"),
         evidence["rationale"].alias("evidence_rationale"),
+        *extra,
     )
 
 
@@ -182,7 +183,9 @@ def node_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Documents
 
 
-def _listing(documents: DataFrame, node: Callable[[Column], list], edge: Callable[[Column], list]) -> DataFrame:
+def _listing(
+    documents: DataFrame, node: Callable[[Column], list], edge: Callable[[Column], list], *extra: str
+) -> DataFrame:
     """Documents as flat text: every list as one string, in list order."""
 
     def text(items: str, parts: Callable[[Column], list]) -> Column:
@@ -197,14 +200,16 @@ def _listing(documents: DataFrame, node: Callable[[Column], list], edge: Callabl
         F.size("edges").alias("edge_count"),
         text("nodes", node).alias("node_list"),
         text("edges", edge).alias("edge_list"),
+        *extra,
     )
 
 
-def _narrow_listing(documents: DataFrame) -> DataFrame:
+def _narrow_listing(documents: DataFrame, *extra: str) -> DataFrame:
     return _listing(
         documents,
         lambda n: [n["id"], n["kind"], n["title"], n["bodyText"]],
         lambda e: [e["id"], e["from"], e["to"], e["kind"]],
+        *extra,
     )
 
 
@@ -232,6 +237,19 @@ def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _narrow_listing(docs.documents(_stored(commerce(spark, sf_dir, weights=False))))
 
 
+@query
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in pages of 16 nodes and 16 edges."""
+    return _narrow_listing(docs.documents(_stored(commerce(spark, sf_dir, weights=False)), page=16))
+
+
+@query
+def requested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slug in, document or not-found out."""
+    tables = _stored(commerce(spark, sf_dir, weights=False))
+    return _narrow_listing(docs.get_documents(tables, _requests(spark, sf_dir)), "found")
+
+
 @query
 def graph_documents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full_listing(docs.documents(_stored(commerce(spark, sf_dir)), full=True))
@@ -252,8 +270,7 @@ def _reloaded(spark: SparkSession, sf_dir: str) -> GraphTables:
 
 @query
 def document_nodes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _reloaded(spark, sf_dir).nodes
-    return _flat_nodes(nodes).join(nodes.select("id", "pos"), "id")
+    return _flat_nodes(_reloaded(spark, sf_dir).nodes, "pos")
 
 
 @query
@@ -632,6 +649,16 @@ def flow_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cyclic_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose first turn answers the last one: no node on the ring has a layer."""
+    return _ring_layers(spark, sf_dir)
+
+
+@query
+def cyclic_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node has a place, on the ring too."""
+    return layout.place(_ring_layers(spark, sf_dir))
+
+
+def _ring_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = dialogue(spark, sf_dir)
     last = tables.nodes.groupBy("graph_id").agg(F.count("*").alias("turns")).where("turns > 1")
     back = last.select(

@@ -70,13 +70,17 @@ def test_positions(seed_tables):
     assert len({(r.x, r.y) for r in got.values()}) == 27
 
 
-def test_boxes_of_a_very_wide_layer(seed_tables):
-    placed = assign_layers(seed_tables.nodes, seed_tables.edges)
-    columns = ("id", "slot", "x", "y")
-    assert sorted(rows(place(placed, limit=4), *columns)) == sorted(rows(place(placed), *columns))
-
-
-def test_unplaced_nodes_have_no_position(spark):
-    nodes, links = graph(spark, "1:a 1:b 1:x", "a>b b>a")
-    got = place(assign_layers(nodes, links)).where(F.col("layer").isNull())
-    assert sorted(rows(got, "id", "slot", "x", "y")) == [("a", None, None, None), ("b", None, None, None)]
+def test_boxes_of_a_very_wide_layer(spark):
+    layers = spark.range(5000).select(F.lit(1).alias("graph_id"), F.format_string("n%05d", "id").alias("id"), F.lit(2).alias("layer"))
+    got = place(layers.repartition(7)).orderBy("id")
+    assert [r.slot for r in got.collect()] == list(range(5000))
+    assert [dict(got.dtypes)[c] for c in ("layer", "slot", "x", "y")] == ["int", "bigint", "int", "bigint"]
+
+
+def test_nodes_without_a_layer_stand_right_of_the_others(spark):
+    nodes, links = graph(spark, "1:a 1:b 1:x 1:y 2:c 2:d", "a>b b>a y>x c>d d>c")
+    got = place(assign_layers(nodes, links))
+    assert sorted(rows(got, "graph_id", "id", "layer", "slot", "x", "y")) == [
+        (1, "a", 2, 0, 684, 24), (1, "b", 2, 1, 684, 166), (1, "x", 0, 0, 24, 24), (1, "y", 1, 0, 354, 24),
+        (2, "c", 0, 0, 24, 24), (2, "d", 0, 1, 24, 166),
+    ]
