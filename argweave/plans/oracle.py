@@ -430,6 +430,12 @@ ORACLE: dict[str, str] = {
            CAST(row_number() OVER (PARTITION BY graph_id ORDER BY id) - 1 AS INTEGER) AS pos
     FROM edges JOIN numbered ON old_id = graph_id
     """,
+    "document_defects": _with(DIALOGUE)
+    + """
+    SELECT 'document_json' AS rule, 'documents' AS "table", count(*) AS violations FROM graphs HAVING count(*) > 0
+    UNION ALL SELECT 'graphs_slug_key', 'graphs', count(*) FROM graphs HAVING count(*) > 0
+    UNION ALL SELECT 'nodes_pkey', 'nodes', count(*) FROM nodes HAVING count(*) > 0
+    """,
     "document_json": _with(DIALOGUE) + _documents(NARROW_NODE, NARROW_EDGE),
     "node_counts": _with(COMMERCE) + "SELECT graph_id, count(*) AS node_count FROM nodes GROUP BY graph_id",
     "edge_counts": _with(COMMERCE) + "SELECT graph_id, count(*) AS edge_count FROM edges GROUP BY graph_id",
@@ -539,7 +545,12 @@ ORACLE: dict[str, str] = {
     "typed_nodes": _with(COMMERCE) + f"SELECT {FLAT_NODES} FROM nodes",
     "typed_misfits": _with(COMMERCE)
     + """
-    SELECT 'nodes_type' AS rule, 'nodes' AS "table", id AS key, 'importance: 10.5' AS detail FROM nodes
+    SELECT 'nodes_type' AS rule, 'nodes' AS "table", id AS key, detail
+    FROM nodes CROSS JOIN (VALUES
+        ('graph_id: one'), ('tags: abc'), ('prior: high'), ('weight: -10.5'), ('confidence: ?'), ('importance: 10.5'),
+        ('evidence: {"type": "video", "score": "high"}'), ('attributes: not json'), ('created_at: garbage'),
+        ('updated_at: 2024-13-01')
+    ) bad(detail)
     WHERE kind = 'root'
     """,
     "layer_assignment": _with(COMMERCE, WALK, recursive=True) + "SELECT graph_id, id, layer FROM layers",

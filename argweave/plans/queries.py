@@ -280,6 +280,19 @@ def document_edges_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def document_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written twice and once cut off: the lines left out, and the keys that occur twice."""
+    path = run_folder(spark)
+    text = docs.to_json(docs.documents(_stored(dialogue(spark, sf_dir)))).select("document")
+    cut = text.select(F.expr("substr(document, 1, length(document) - 1)").alias("document"))
+    text.unionByName(text).unionByName(cut).write.text(path)
+    tables = document_files.load(spark, path, use_documents=True)
+    slugs = quality.duplicate_keys(tables.graphs, "graphs", "slug")
+    ids = quality.duplicate_keys(tables.nodes, "nodes")
+    return quality.summary(document_files.document_misfits(spark, path).unionByName(slugs).unionByName(ids))
+
+
 @query
 def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as JSON text and parsed again."""
@@ -603,10 +616,23 @@ def typed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def typed_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node rows whose importance does not fit its type."""
+    """Root rows with a value that does not fit in every column of another type than text."""
     loose = _loose_nodes(spark, sf_dir)
-    too_large = F.when(F.col("kind") == "root", F.lit("10.5")).otherwise(F.col("importance"))
-    return stores.misfits(loose.withColumn("importance", too_large), "nodes")
+    bad = {
+        "graph_id": "one",
+        "tags": "abc",
+        "prior": "high",
+        "weight": "-10.5",
+        "confidence": "?",
+        "importance": "10.5",
+        "evidence": '{"type": "video", "score": "high"}',
+        "attributes": "not json",
+        "created_at": "garbage",
+        "updated_at": "2024-13-01",
+    }
+    root = F.col("kind") == "root"
+    given = {n: F.when(root, v).otherwise(F.col(n) if n in loose.columns else None) for n, v in bad.items()}
+    return stores.misfits(loose.withColumns(given), "nodes")
 
 
 def _loose_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,8 @@ def test_typed_reads_loose_values_without_failing(spark):
     loose = spark.createDataFrame(
         [
             ("a", "1", "claim", "t", "b", "{x,y}", "0.5", '{"type": "video", "score": 0.46}', '{"k": 1}'),
-            ("b", "one", "claim", "t", "b", "{}", "10.5", None, "not json"),
+            ("b", "one", "claim", "t", "b", "abc", "10.5", '{"type": "video", "score": "high"}', "not json"),
+            ("c", "1", "claim", "t", "b", None, None, "not json", None),
         ],
         "id string, graph_id string, kind string, title string, body_text string, tags string, prior string, "
         "evidence string, attributes string",
@@ -92,12 +93,31 @@ def test_typed_reads_loose_values_without_failing(spark):
     got = tables.typed(loose, "nodes").orderBy("id")
     assert rows(got, "id", "graph_id", "tags", F.col("prior").cast("string"), "evidence.score") == [
         ("a", 1, ["x", "y"], "0.50000", 0.46),
-        ("b", None, [], None, None),
+        ("b", None, None, None, None),
+        ("c", 1, [], None, None),
     ]
-    assert rows(got, F.to_json("attributes")) == [('{"k":1}',), ("{}",)]
+    assert rows(got, "evidence.type", F.col("evidence").isNull()) == [("video", False), ("video", False), (None, True)]
+    assert rows(got, F.to_json("attributes")) == [('{"k":1}',), (None,), ("{}",)]
     assert sorted(rows(tables.misfits(loose, "nodes"))) == [
+        ("nodes_type", "nodes", "b", "attributes: not json"),
+        ("nodes_type", "nodes", "b", 'evidence: {"type": "video", "score": "high"}'),
         ("nodes_type", "nodes", "b", "graph_id: one"),
         ("nodes_type", "nodes", "b", "prior: 10.5"),
+        ("nodes_type", "nodes", "b", "tags: abc"),
+        ("nodes_type", "nodes", "c", "evidence: not json"),
+    ]
+
+
+def test_bulk_load_reports_loose_values_with_the_violations(spark, tmp_path):
+    graphs = spark.createDataFrame([("1", "s", "t", None, "garbage")], "id string, slug string, title string, description string, created_at string")
+    nodes = spark.createDataFrame([("a", 1, "claim", "t", "b", "abc")], "id string, graph_id int, kind string, title string, body_text string, tags string")
+    edges = spark.createDataFrame([], "id string, graph_id int, from_node_id string, to_node_id string, kind string")
+    report = tables.bulk_load(GraphTables(graphs, nodes, edges), str(tmp_path / "store"))
+    assert sorted(rows(report, "rule", "key", "detail")) == [
+        ("graphs_not_null", "1", "created_at"),
+        ("graphs_type", "1", "created_at: garbage"),
+        ("nodes_not_null", "a", "tags"),
+        ("nodes_type", "a", "tags: abc"),
     ]
 
 
