@@ -85,7 +85,7 @@ def duplicate_keys(rows: DataFrame, table: str, column: str = "id") -> DataFrame
 
 
 def _key_counts(rows: DataFrame, column: str) -> DataFrame:
-    """Rows per key. Duplicates and all references to a table share this aggregate and its shuffle."""
+    """Rows per key; references use the keys only, so their plan drops the count and has a shuffle of its own."""
     return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
 
 
