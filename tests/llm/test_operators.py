@@ -241,6 +241,13 @@ def test_constant_nodes_of_a_host_are_template(spark):
     assert all(r.text == f"Text number {r.page_id}" for r in got)
 
 
+def test_pages_without_article_keep_their_text_beside_pages_with_one(spark):
+    rows = [(k, "http://h.org/", f"<article><p>In {k}</p></article><div>Out {k}</div>" if k % 2 else f"<div class=content><p>Text {k}</p></div>") for k in range(12)]
+    rows += [(20, None, "<main>One</main><div>two</div>"), (21, None, "<div>Three</div>"), (22, "odd", "<article><nav>no</nav></article><p>Four</p>")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"In {k}" if k % 2 else f"Text {k}" for k in range(12)}, 20: "One", 21: "Three", 22: "Four"}
+
+
 def test_simple_tree_matching():
     leaf = lambda label: [label, "", 1, []]
     a, b = ["r", "", 1, [leaf("x"), leaf("y"), leaf("z")]], ["r", "", 1, [leaf("x"), leaf("z"), leaf("y")]]
