@@ -3,6 +3,7 @@ ties, repeated rows, empty tables, clashing columns."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -248,6 +249,22 @@ def test_pages_without_article_keep_their_text_beside_pages_with_one(spark):
     assert got == {**{k: f"In {k}" if k % 2 else f"Text {k}" for k in range(12)}, 20: "One", 21: "Three", 22: "Four"}
 
 
+def _texts(pages: list[str]) -> list[str]:
+    """The texts of pages of one host."""
+    trees = [wrappers.parse(p) for p in pages]
+    wrapper = functools.reduce(wrappers._joined, [wrappers._page_wrapper(t, p) for t, p in zip(trees, pages)])
+    return ["\n".join(wrappers.extract(t, wrapper)) for t in trees]
+
+
+def test_names_of_content_are_no_template():
+    kept = ["<h2 id='search'>", "<h2 id='comments-in-python'>", "<section id='related-work'>", "<section id='social-policy'>", "<div class='alert-study'>", "<p class='side'>", "<div data-role='navigation' class='has-sidebar'>", "<div class='post-header'>"]
+    gone = ["<div class='ad'>", "<div class='x ad-slot-3'>", "<ul class=site_nav>", "<section class='comment-list'>", "<div role=alert>", "<div class='cookie-notice'>", "<aside>", "<p role=navigation>"]
+    close = lambda tag: f"</{re.match('<([a-z0-9]+)', tag)[1]}>"
+    body = "".join(f"{tag}{k}{close(tag)}" for k, tag in enumerate(kept + gone))
+    assert _texts([f"<article>{body}</article>"]) == ["\n".join(str(k) for k in range(len(kept)))]
+    assert _texts(["<div id=comments>no</div><div id=site-header>no</div><div id=header-files>yes</div>"]) == ["yes"]
+
+
 def test_simple_tree_matching():
     leaf = lambda label: [label, "", 1, []]
     a, b = ["r", "", 1, [leaf("x"), leaf("y"), leaf("z")]], ["r", "", 1, [leaf("x"), leaf("z"), leaf("y")]]
