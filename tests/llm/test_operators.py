@@ -265,6 +265,22 @@ def test_names_of_content_are_no_template():
     assert _texts(["<div id=comments>no</div><div id=site-header>no</div><div id=header-files>yes</div>"]) == ["yes"]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>a<svg class=x />b<math/>c</p><p>d", "abc\nd"), ("<object data=x>a<p>b", "a\nb"), ("<video>a</video><canvas>b<p>c", "ab\nc"), ("<audio>a<p>b", "a\nb"),
+        ("<p>E = <math><mi>m</mi></math><noscript>n</noscript>", "E = mn"), ("<a title=it's>a</a><p>b's<p>c", "a\nb's\nc"), ('<p class="x"">a</p><p>b "c"', 'a\nb "c"'),
+        ('<p title="a>b" id=\'c>d\'>e', "e"), ('<p title="a>b', "b"), ("<!-->a<!-- b -->c", "ac"), ("<script>a</script>b<style>c<p>", "b"),
+    ],
+)
+def test_text_is_not_cut_at_embedded_elements_or_quotes(html, text):
+    assert _texts([html]) == [text] and _texts([f"<article>{html}"]) == [text]
+
+
+def test_long_runs_of_quotes_take_linear_time():
+    assert _texts(["<p " + "=\"a\" ='b' " * 100_000 + ">x</p><p " + "= " * 100_000]) == ["x"]
+
+
 def test_simple_tree_matching():
     leaf = lambda label: [label, "", 1, []]
     a, b = ["r", "", 1, [leaf("x"), leaf("y"), leaf("z")]], ["r", "", 1, [leaf("x"), leaf("z"), leaf("y")]]
