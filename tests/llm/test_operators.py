@@ -252,7 +252,7 @@ def test_pages_without_article_keep_their_text_beside_pages_with_one(spark):
 def _texts(pages: list[str]) -> list[str]:
     """The texts of pages of one host."""
     trees = [wrappers.parse(p) for p in pages]
-    wrapper = functools.reduce(wrappers._joined, [wrappers._page_wrapper(t, p) for t, p in zip(trees, pages)])
+    wrapper = functools.reduce(wrappers._joined, [wrappers._page_wrapper(t) for t in trees])
     return ["\n".join(wrappers.extract(t, wrapper)) for t in trees]
 
 
@@ -281,6 +281,20 @@ def test_long_runs_of_quotes_take_linear_time():
     assert _texts(["<p " + "=\"a\" ='b' " * 100_000 + ">x</p><p " + "= " * 100_000]) == ["x"]
 
 
+def test_text_on_some_pages_only_is_no_template():
+    lead = [f"<{tag}>{'Lead' if k in (3, 5) else ''}<p>Text {k}</p></{tag}>" for tag in ("article", "div") for k in range(9)]
+    for pages in (lead[:9], lead[9:]):
+        assert _texts(pages) == [f"Lead\nText {k}" if k in (3, 5) else f"Text {k}" for k in range(9)]
+
+
+def test_copies_of_an_article_are_no_template():
+    shell = "<!-- ad {0} --><script>track({0})</script><div class=ad>Buy {0}</div>{1}<div id=comments>Nice {0}</div>"
+    for body in ("<h1>Head</h1><div>One</div><section>Two</section>", "<article><h1>Head</h1><div>One</div><section>Two</section></article>"):
+        assert _texts([shell.format(k, body) for k in range(12)]) == ["Head\nOne\nTwo"] * 12
+    counted = "<article><h1>Head</h1><div>One</div><section>Views: {0}</section></article>"
+    assert _texts([counted.format(k) for k in range(12)]) == [f"Head\nOne\nViews: {k}" for k in range(12)]
+
+
 def test_simple_tree_matching():
     leaf = lambda label: [label, "", 1, []]
     a, b = ["r", "", 1, [leaf("x"), leaf("y"), leaf("z")]], ["r", "", 1, [leaf("x"), leaf("z"), leaf("y")]]
