@@ -295,6 +295,27 @@ def test_copies_of_an_article_are_no_template():
     assert _texts([counted.format(k) for k in range(12)]) == [f"Head\nOne\nViews: {k}" for k in range(12)]
 
 
+def test_wrappers_stay_as_small_as_a_page():
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    pages = [f"<h3>Our page</h3><div id=x{name(k)}><section class=y{name(k)}>Text {k}</section></div><div id=post-{k}><div>Signed</div><div>b<i>{k}</i></div></div>" for k in range(60)]
+    trees = [wrappers.parse(p) for p in pages]
+    wrapper = functools.reduce(wrappers._joined, map(wrappers._page_wrapper, trees))
+    nodes = lambda n: 1 + sum(map(nodes, n[3]))
+    assert nodes(wrapper["tree"]) <= max(nodes(wrappers._plain(t)) for t in trees)
+    assert _texts(pages) == [f"Text {k}\nSigned\nb{k}" for k in range(60)]
+    headed = [f"<div id=post-{k}><h3>Our page</h3><p>Text {k}</p></div>" for k in range(20)]
+    assert _texts(headed) == [f"Text {k}" for k in range(20)]
+
+
+def test_deep_pages(spark):
+    shell = "<h3>Our page</h3>{}a{}<p>b</p><nav><div>no</div></nav><article><p>c"
+    deep = [shell.format(k, "<div>" * 5000) + "</article></div>d" for k in range(9)] + ["<section><ul><li>" * 3000 + f"{k}" for k in range(9)]
+    rows = [(k, f"http://{k // 9}.org/", p) for k, p in enumerate(deep)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "c" if k < 9 else str(k - 9) for k in range(18)}
+    assert _texts(["<div>" * 5000 + "a<div>b</div>c<div class=ad><div>no</div></div>d"]) == ["a\nb\nc\nd"]
+
+
 def test_simple_tree_matching():
     leaf = lambda label: [label, "", 1, []]
     a, b = ["r", "", 1, [leaf("x"), leaf("y"), leaf("z")]], ["r", "", 1, [leaf("x"), leaf("z"), leaf("y")]]
