@@ -92,13 +92,11 @@ class Tree:
                     rows = rows[np.abs(at - page[2]) <= most]
                 products = self.exact[rows] @ exact
                 floor = best[0][0] if len(best) == k else -np.inf
-                good = np.flatnonzero(products >= floor)
+                good = np.flatnonzero((products >= floor) & (self.ids[rows] != query_id))
                 if len(good) > k:
-                    good = good[np.lexsort((self.ids[rows[good]], -products[good]))[: k + 1]]
+                    good = good[np.lexsort((self.ids[rows[good]], -products[good]))[:k]]
                 for j in good:
                     found = (int(products[j]), -int(self.ids[rows[j]]))
-                    if -found[1] == query_id:
-                        continue
                     if len(best) < k:
                         heapq.heappush(best, found)
                     elif found > best[0]:

@@ -216,6 +216,21 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("times", [2, 3, 9])
+def test_top_k_of_repeated_rows_equals_brute_force(spark, times):
+    chance = np.random.default_rng(times)
+    rows = [(k, [float(x) for x in chance.normal(size=4)]) for k in range(1000)] * times
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 25 == 0, 5).collect()
+    ids = np.array([i for i, _ in rows])
+    whole = np.floor(256 * np.array([v for _, v in rows], np.float32).astype(float)).astype(int)
+    want = []
+    for q in range(0, 1000, 25):
+        others = ids != q
+        best = sorted(zip(-(whole[others] @ whole[q]), ids[others]))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_urls_confirm_strings_and_prefer_the_longest(spark):
     rules_in = [("net/", "block"), ("a.net/x/", "allow"), (None, "block"), ("net/", "block")]
     pages = [(1, "http://A.net/x/1"), (2, "http://b.a.net/y"), (3, "http://a.net"), (4, None), (5, "a.net/x/"), (6, "s://na.org/?//net/")]
