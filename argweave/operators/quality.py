@@ -121,3 +121,20 @@ def violations(tables: GraphTables) -> DataFrame:
 def summary(violations: DataFrame) -> DataFrame:
     """Number of violations per rule."""
     return violations.groupBy("rule", "table").agg(F.count("*").alias("violations"))
+
+
+def rules() -> list[tuple[str, str]]:
+    """Every rule that `violations` applies, with its table."""
+    named = [(rule, "nodes") for rule in _node_checks()] + [(rule, "edges") for rule in _edge_checks()]
+    for table, (_, unique, foreign) in KEYS.items():
+        named += [(f"{table}_not_null", table), (f"{table}_pkey", table)]
+        named += [(f"{table}_{column}_key", table) for column in unique]
+        named += [(f"{table}_{column}_fkey", table) for column in foreign]
+    return named
+
+
+def counts(violations: DataFrame) -> DataFrame:
+    """Number of violations of every rule, zero included."""
+    every = violations.sparkSession.createDataFrame(rules(), "rule string, `table` string")
+    found = every.join(summary(violations), ["rule", "table"], "left")
+    return found.select("rule", "table", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))

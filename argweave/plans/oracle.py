@@ -229,6 +229,20 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 SUMMARY = f'SELECT rule, "table", count(*) AS violations FROM ({_all_rules()}) GROUP BY rule, "table"'
 
+# Counts per rule with zeros, from the names of all rules.
+COUNTS = f"""
+SELECT names.rule, names."table", count(found.rule) AS violations
+FROM (VALUES
+    ('ck_nodes_prior', 'nodes'), ('ck_nodes_weight', 'nodes'), ('ck_nodes_confidence', 'nodes'), ('ck_nodes_importance', 'nodes'),
+    ('ck_nodes_kind', 'nodes'), ('ck_edges_confidence', 'edges'), ('ck_edges_weight', 'edges'), ('ck_edges_kind', 'edges'),
+    ('ck_edges_not_self', 'edges'), ('ck_edges_polarity', 'edges'), ('graphs_not_null', 'graphs'), ('nodes_not_null', 'nodes'),
+    ('edges_not_null', 'edges'), ('graphs_pkey', 'graphs'), ('nodes_pkey', 'nodes'), ('edges_pkey', 'edges'),
+    ('graphs_slug_key', 'graphs'), ('edges_from_node_id_fkey', 'edges'), ('edges_to_node_id_fkey', 'edges'),
+    ('edges_graph_id_fkey', 'edges'), ('nodes_graph_id_fkey', 'nodes')
+) names(rule, "table") LEFT JOIN ({_all_rules()}) found ON found.rule = names.rule AND found."table" = names."table"
+GROUP BY ALL
+"""
+
 FLAT_NODES = """
 id, graph_id, kind, title, body_text, category, array_to_string(tags, '|') AS tags, CAST(prior AS DOUBLE) AS prior,
 CAST(weight AS DOUBLE) AS weight, CAST(confidence AS DOUBLE) AS confidence, CAST(importance AS DOUBLE) AS importance,
@@ -521,6 +535,12 @@ ORACLE: dict[str, str] = {
         "bad_graphs AS (SELECT * FROM graphs), bad_nodes AS (SELECT * FROM nodes), bad_edges AS (SELECT * FROM edges)",
     )
     + _all_rules(),
+    "violations_clean_counts": _with(
+        DIALOGUE,
+        "bad_graphs AS (SELECT * FROM graphs), bad_nodes AS (SELECT * FROM nodes), bad_edges AS (SELECT * FROM edges)",
+    )
+    + COUNTS,
+    "violations_counts": _with(COMMERCE, DEFECTS) + COUNTS,
     "cascade_delete_graphs": _with(COMMERCE)
     + _survivors(
         f"id NOT IN ({DOOMED})",
@@ -561,6 +581,17 @@ ORACLE: dict[str, str] = {
     SELECT f.* EXCLUDE (x, y), p.x, p.y, p."sourcePosition", p."targetPosition"
     FROM ({FLOW_NODES}) f JOIN ({POSITIONS}) p ON p.graph_id = f.graph_id AND p.id = f.id
     """,
+    "drawn_documents": _with(COMMERCE, WALK, NUMBERED, recursive=True)
+    + f"""
+    SELECT * EXCLUDE (old_id, new_id) REPLACE (CAST(new_id AS INTEGER) AS graph_id) FROM (
+      SELECT 'node' AS element, f.* EXCLUDE (x, y), p.x, p.y, p."sourcePosition", p."targetPosition"
+      FROM ({FLOW_NODES}) f JOIN ({POSITIONS}) p ON p.graph_id = f.graph_id AND p.id = f.id
+      UNION ALL BY NAME
+      SELECT 'edge' AS element, graph_id, id, from_node_id AS source, to_node_id AS target, {KIND_LABEL} AS label,
+             'arrowclosed' AS marker, 'graph-edge graph-edge--' || kind AS "className", 11 AS "fontSize", 700 AS "fontWeight"
+      FROM edges
+    ) JOIN numbered ON old_id = graph_id
+    """,
     # On the ring there is no layer to be right of.
     "cyclic_positions": _with(DIALOGUE, "layers AS (SELECT graph_id, id, 0 AS layer FROM nodes)") + POSITIONS,
     # Every turn of a conversation with several turns lies on the ring; a single turn is a sink.

@@ -240,13 +240,13 @@ def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in pages of 16 nodes and 16 edges."""
-    return _narrow_listing(docs.documents(_stored(commerce(spark, sf_dir, weights=False)), page=16))
+    return _narrow_listing(docs.documents(_stored(commerce(spark, sf_dir)), page=16))
 
 
 @query
 def requested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slug in, document or not-found out."""
-    tables = _stored(commerce(spark, sf_dir, weights=False))
+    tables = _stored(commerce(spark, sf_dir))
     return _narrow_listing(docs.get_documents(tables, _requests(spark, sf_dir)), "found")
 
 
@@ -566,6 +566,17 @@ def violations_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.violations(_stored(dialogue(spark, sf_dir)))
 
 
+@query
+def violations_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each rule, with zero where sound tables break none."""
+    return quality.counts(quality.violations(_stored(dialogue(spark, sf_dir))))
+
+
+@query
+def violations_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.counts(quality.violations(_stored(_defective(spark, sf_dir, weights=True))))
+
+
 # Deletes
 
 
@@ -672,6 +683,15 @@ def flow_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.place_flow_nodes(views.flow_nodes(tables.nodes), positions)
 
 
+@query
+def drawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document files to drawn graphs: placed nodes and edges, told apart by `element`."""
+    tables = _stored(_reloaded(spark, sf_dir))
+    nodes = layout.place_flow_nodes(views.flow_nodes(tables.nodes), layout.place(_layers(tables)))
+    drawn = [rows.withColumn("element", F.lit(name)) for name, rows in (("node", nodes), ("edge", views.flow_edges(tables.edges)))]
+    return drawn[0].unionByName(drawn[1], allowMissingColumns=True)
+
+
 @query
 def cyclic_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose first turn answers the last one: no node on the ring has a layer."""

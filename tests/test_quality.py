@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from argweave.operators import cascade
 from argweave.operators.lineage import run_folder, write_out
-from argweave.operators.quality import REPORT, summary, violations
+from argweave.operators.quality import REPORT, counts, rules, summary, violations
 from argweave.schemas import GraphTables
 from tests.conftest import rows
 
@@ -151,3 +151,11 @@ def test_deleting_a_node_takes_its_edges_along(seed_tables):
 def test_deleting_nothing_changes_nothing(seed_tables):
     nobody = seed_tables.nodes.where("false")
     assert [t.count() for t in cascade.delete_nodes(seed_tables, nobody)] == [1, 27, 34]
+
+
+def test_counts_have_a_row_for_every_rule(seed_tables):
+    got = {(r.rule, r.table): r.violations for r in counts(violations(seed_tables)).collect()}
+    assert got == dict.fromkeys(rules(), 0) and len(got) == 21
+    doubled = seed_tables._replace(graphs=seed_tables.graphs.unionByName(seed_tables.graphs))
+    got = {r.rule: r.violations for r in counts(violations(doubled)).collect()}
+    assert got["graphs_pkey"] == seed_tables.graphs.count() and got["nodes_pkey"] == 0 and len(got) == 21
