@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argweave.llm import boosting, jaccard, mtree, ngrams, packing, pieces, rules, toxicity, urls, wrappers
+from argweave.llm import boosting, jaccard, merkle, mtree, ngrams, packing, pieces, ranked, rules, tensored, toxicity, urls, wrappers
 from argweave.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and the root that each leaf leads to after the tampering of the contract."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    leaf = merkle.leaf_digest([*map(F.col, fields), F.col("text")])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    other = F.when(tampered, merkle.leaf_digest([*map(F.col, fields), F.translate("text", "\n", "")])).otherwise(leaf)
+    rows = merkle.manifest(docs.select("doc_id", "source", leaf.alias("leaf"), other.alias("presented")), "source", "doc_id", "leaf", ["presented"])
+    rows = rows.withColumns({"proof_sha256": merkle.proof_digest(F.col("path")), "folded_root": merkle.folded(F.col("presented"), F.col("path"))})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return ranked.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates among all documents."""
+    return tensored.near_duplicates(table(spark, sf_dir, "documents"))
