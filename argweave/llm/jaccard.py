@@ -5,16 +5,17 @@ pairs. Each class has `BANDS` band keys of `ROWS` minima each; the two numbers a
 `RECALL` at the similarity that is asked for. Classes that share a band key are candidates, and a pair counts in the
 first band that it shares only, so it is verified once and no pair is ever written.
 
-1. One pass over the texts: (doc_id, digest, band keys), stored. 2. One row per digest. 3. Band keys with two classes or
+1. One pass over the texts: (doc_id, place, digest, band keys), stored. 2. One row per digest. 3. Band keys with two classes or
 more. A bucket of over `BLOCK` classes is dealt into blocks by digest, and each pair of blocks is a unit of work, so a
 unit stays small however large the bucket. 4. From the band keys alone, each unit tells which of its classes have a
-pair to be verified there. 5. Only for these classes the texts are read again, for the full sets of 64-bit shingle
-hashes. 6. Each unit verifies its pairs and gives, per class, the documents linked, and a spanning forest of its links.
+pair to be verified there. 5. Only for these classes one text each is read again, where it stands, for the full sets of
+64-bit shingle hashes; no text is ever shuffled. 6. Each unit verifies its pairs and gives, per class, the documents linked, and a spanning forest of its links.
 7. Groups are the connected components of all forests, found by rounds of stars over stored edge tables.
 
 Words are runs of other than ASCII white space, taken as they are. A text of one to four words is one shingle. NULL texts
-and texts without words have no shingles: they link to nothing and are groups of their own. Rows are told apart by
-(doc_id, digest), so repeated rows, and several texts under one doc_id, are copies or near-copies like any others.
+and texts without words have no shingles: they link to nothing and are groups of their own. Repeated rows, and several
+texts under one doc_id, are copies or near-copies like any others. Empty tables give no rows; other columns, whatever they
+are called, take no part and stay as they are.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argweave.llm.common import in_turn, store, sums, text_slices, texts_of, unused_prefix, words_of
+from argweave.llm.places import filtered, placed, routed
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 BLOCK = 512
@@ -84,8 +86,8 @@ def band_keys(keys: np.ndarray, places: np.ndarray, bands: int, rows: int) -> np
     return out
 
 
-def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, keys); digest and keys are NULL for texts without words."""
+def signed(docs: DataFrame, bands: int, rows: int, p: str) -> DataFrame:
+    """(doc_id, file, row, digest, keys) of `placed` documents; digest and keys are NULL for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -93,10 +95,11 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             found = iter(band_keys(keys, places, bands, rows).view(np.int32))
             digest = digests(keys, places)
             own = [next(found) if d is not None else None for d in digest]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "digest", "keys"])
+            columns = [*(part.column(c) for c in ("doc_id", f"{p}file", f"{p}row")), pa.array(digest, pa.binary()), pa.array(own, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "row", "digest", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, keys array<int>")
+    return docs.select("doc_id", f"{p}file", f"{p}row", "text").mapInArrow(run, f"doc_id {kind}, file long, row long, digest binary, keys array<int>")
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -232,26 +235,23 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def linked(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Stored rows (doc_id, digest, keys), and (digest, head, members, least_id, links, classes) of every class that has copies
-    or links: `head` names its group, `links` counts the linked documents of other classes, `classes` those classes."""
+def linked(docs: DataFrame, p: str, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Of documents that `placed` has given places with the prefix `p`: stored rows (doc_id, file, row, digest, keys), and
+    (digest, head, members, least_id, links, classes) of every class that has copies or links: `head` names its group,
+    `links` counts the linked documents of other classes, `classes` those classes."""
     bands, rows = banding(similarity, recall)
-    sign = store(signed(docs, bands, rows), "signed")
-    classes = sign.where("digest is not null").groupBy("digest").agg(F.count("*").alias("members"), F.first("keys").alias("keys"), F.min("doc_id").alias("least_id"))
-    classes = store(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    sign = store(signed(docs, bands, rows, p), "signed")
+    first = F.min(F.struct("file", "row")).alias("first")
+    classes = sign.where("digest is not null").groupBy("digest").agg(F.count("*").alias("members"), F.first("keys").alias("keys"), F.min("doc_id").alias("least_id"), first)
+    classes = store(classes.select("digest", "members", "keys", "least_id", "first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     want = store(needed(units(classes.select("id", "keys"))), "needed")
-    who = store(want.select("id").distinct().join(classes.select("id", "digest", "members", "least_id"), "id"), "who")
+    who = want.select("id").distinct().join(classes.select("id", "members", "file", "row"), "id")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            keys, places = shingles(texts_of(part.column("text")))
-            blobs = [keys[a:b].astype("<u8").tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(digests(keys, places), pa.binary()), "shingles": pa.array(blobs, pa.binary())})
+    def sets(texts: pa.Array) -> dict[str, pa.Array]:
+        keys, places = shingles(texts)
+        return {"shingles": pa.array([keys[a:b].astype("<u8").tobytes() for a, b in zip(places[:-1], places[1:], strict=True)], pa.binary())}
 
-    ids = who.select(F.col("least_id").alias("doc")).distinct()
-    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
-    known = chosen.mapInArrow(sets, "digest binary, shingles binary").where("digest is not null").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    known = store(who.select("id", "digest", "members").join(known, "digest").drop("digest"), "sets")
+    known = store(routed(docs, who, sets, "shingles binary", p), "sets")
     found = store(verified(want.join(known, "id"), similarity), "found")
     head = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
@@ -272,7 +272,9 @@ def _apart(digest: str) -> Column:
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its group), links (other documents at or above the
     similarity, copies included) and linked_texts (the classes of other texts among them)."""
-    sign, found = linked(docs, similarity, recall)
+    docs = docs.select("doc_id", "text")
+    p = unused_prefix(docs)
+    sign, found = linked(placed(docs, p), p, similarity, recall)
     least = found.groupBy("head").agg(F.min("least_id").alias("class_id"))
     links = (F.col("members") - 1 + F.col("links")).alias("links")
     found = store(found.join(store(least, "least"), "head").select(F.col("digest").alias("k"), "class_id", links, F.col("classes").alias("linked_texts")), "links")
@@ -284,33 +286,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """`docs` with one row of each group: that of the least doc_id (NULL last), and of its several texts the least
-    digest. Only a row that is chosen but occurs several times passes through a second, small branch."""
-    sign, found = linked(docs, similarity, recall)
+    """`docs` with one row of each group: that of the least doc_id (NULL last), of its several texts the least digest, and
+    of equal rows the first place. The rows that go are told by their places in the pass that reads the documents."""
+    p = unused_prefix(docs)
+    rows = placed(docs, p)
+    sign, found = linked(rows, p, similarity, recall)
     rank = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "digest")
     best = found.groupBy("head").agg(F.min(rank).alias("best")).select("head", F.col("best.least_id").alias("best_id"), F.col("best.digest").alias("best_digest"))
-    found = found.select("digest", "head", "members").join(store(best, "best"), "head").select("digest", "members", "best_id", (F.col("digest") == F.col("best_digest")).alias("best"))
-    heads = found.where("best and members > 1").select("digest", "best_id")
-    often = sign.select("doc_id", "digest").join(heads, "digest").where("doc_id <=> best_id").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    often = store(often.select("digest", F.lit(True).alias("often")), "often")
-    found = store(found.join(often, "digest", "left").select(F.col("digest").alias("k"), "best_id", "best", F.coalesce("often", F.lit(False)).alias("often")), "found")
-
-    p = unused_prefix(docs)
-    found = found.select(F.col("k").alias(f"{p}k"), *(F.col(n).alias(p + n) for n in ("best_id", "best", "often")))
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            own = digests(*shingles(texts_of(part.column("text"))))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.binary())], names=[*part.schema.names, f"{p}digest"])
-
-    def told(docs: DataFrame) -> DataFrame:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        rows = docs.mapInArrow(tell, f"{kinds}, `{p}digest` binary")
-        return rows.withColumn(f"{p}k", _apart(f"{p}digest")).join(found, f"{p}k", "left")
-
-    best, often = F.col(f"{p}best"), F.col(f"{p}often")
-    chosen = best & F.col("doc_id").eqNullSafe(F.col(f"{p}best_id"))
-    once = told(docs).where(best.isNull() | (chosen & ~often)).select(*docs.columns)
-    ids = found.where(often).select(F.col(f"{p}best_id").alias(f"{p}id")).distinct()
-    twice = told(docs.join(ids, F.col("doc_id").eqNullSafe(F.col(f"{p}id")), "left_semi")).where(chosen & often)
-    return once.unionByName(twice.dropDuplicates([f"{p}k"]).select(*docs.columns))
+    found = found.select("digest", "head").join(store(best, "best"), "head").select("digest", "best_id", (F.col("digest") == F.col("best_digest")).alias("best"))
+    grouped = store(sign.select("doc_id", "file", "row", "digest").join(store(found, "decided"), "digest"), "grouped")
+    stays = grouped.where(F.col("best") & F.col("doc_id").eqNullSafe(F.col("best_id"))).groupBy("digest").agg(F.min(F.struct("file", "row")).alias("first"))
+    goes = grouped.select("file", "row").join(stays.select("first.*"), ["file", "row"], "left_anti")
+    return filtered(rows, goes, False, p).select(*docs.columns)

@@ -37,6 +37,9 @@ def model_path() -> str:
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
+#: Code points that are indexed together.
+GROUP = 1 << 20
+
 
 class Vocabulary:
     def __init__(self, path: str):
@@ -67,9 +70,8 @@ class Vocabulary:
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, rank) of every occurrence of a piece in `text`, by place."""
         alphabet, letters = np.unique(text, return_inverse=True)
-        bits = 8 if len(alphabet) < 255 else 16  # a letter's number and one more for "none" and "all" each
-        if len(alphabet) >= 65_535:
-            raise ValueError("Over 65,534 different code points in one slice.")
+        # A letter's number and one more for "none" and "all" each; there are fewer than 2^21 code points.
+        bits = 8 if len(alphabet) < 255 else 16 if len(alphabet) < 65_535 else 32
         per = 64 // bits
         pads = -(-self.longest // per) * per
         own = np.concatenate([letters.astype(np.uint64) + np.uint64(1), np.zeros(pads, np.uint64)])
@@ -113,9 +115,20 @@ class Vocabulary:
         return place[order], size[which], numbers[which]
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in turn, and where each unit's begin."""
-        if not units:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        """Ids of all units in turn, and where each unit's begin. No piece crosses a unit, so units go in groups of about
+        `GROUP` code points, which bounds the memory whatever the text; only a longer unit is a group of its own."""
+        ids, ends, group, held = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], [], 0
+        for k, unit in enumerate(units):
+            group.append(unit)
+            held += len(unit)
+            if held >= GROUP or k == len(units) - 1:
+                own, places = self._encode_group(group)
+                ids.append(own)
+                ends.append(places[1:] + ends[-1][-1])
+                group, held = [], 0
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _encode_group(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(u) for u in units])
         text = _codes("".join(units))
         unit_of = np.repeat(np.arange(len(units)), lengths)

@@ -193,11 +193,11 @@ def _posted(docs: DataFrame, folder: str) -> DataFrame:
             hit = term >= 0
             key, tf = np.unique(term[hit] * part.num_rows + owners(ends)[hit], return_counts=True)
             packed = [_packed(x) for x in (n, np.bincount(key // part.num_rows, minlength=len(wanted)), key % part.num_rows, tf)]
-            row = {"docs": [part.column("doc_id").to_pylist()], "some": [int((n > 0).sum())], "total": [int(n.sum())]} | {c: [x] for c, x in zip(("n", "df", "doc", "tf"), packed, strict=True)}
+            row = {"docs": [part.column("doc_id").to_pylist()], "some": [int((n > 0).sum())], "total": [int(n.sum())], "size": [len(key)]} | {c: [x] for c, x in zip(("n", "df", "doc", "tf"), packed, strict=True)}
             yield pa.RecordBatch.from_pydict(row, schema=schema)
 
-    schema = pa.schema([("docs", pa.list_(_arrow(docs, "doc_id"))), ("some", pa.int64()), ("total", pa.int64()), *((c, pa.binary()) for c in ("n", "df", "doc", "tf"))])
-    return docs.select("doc_id", "text").mapInArrow(run, f"docs array<{kind}>, some long, total long, n binary, df binary, doc binary, tf binary")
+    schema = pa.schema([("docs", pa.list_(_arrow(docs, "doc_id"))), *((c, pa.int64()) for c in ("some", "total", "size")), *((c, pa.binary()) for c in ("n", "df", "doc", "tf"))])
+    return docs.select("doc_id", "text").mapInArrow(run, f"docs array<{kind}>, some long, total long, size long, n binary, df binary, doc binary, tf binary")
 
 
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
@@ -291,10 +291,12 @@ def top_k(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK) ->
         folder = f"{run_folder(spark)}/block"
         _write_items(items, number, folder)
         posted = store(_posted(docs, folder), "posted")
-        count, total = posted.agg(F.coalesce(F.sum("some"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).head()
+        count, total, size = posted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("some", "total", "size"))).head()
         if not total:
             continue
         _write_weights(posted, count, folder)
+        # Packed postings are small, and much work: tasks are cut by postings and not by bytes.
+        posted = posted.repartition(max(1, math.ceil(size / (2 * SHARD))))
         found.append(store(_found(posted, count, total, folder, k, kind, _arrow(docs, "doc_id")), "found"))
     if not found:
         none = F.lit(None)

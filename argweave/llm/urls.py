@@ -75,8 +75,12 @@ def build(rules: DataFrame) -> tuple[str, list[int]]:
     """Write the array; its place, and the lengths of the rules' paths."""
     folder = run_folder(rules.sparkSession)
     split = F.expr("locate('/', rule)")
+    rules = rules.where("rule is not null and locate('/', rule) > 0")
+    unknown = rules.where(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))).select("rule", "verdict").head()
+    if unknown is not None:
+        raise ValueError(f"The verdict of rule {unknown.rule!r} is {unknown.verdict!r}; it must be one of {', '.join(VERDICTS)}.")
     rules = (
-        rules.where("rule is not null and locate('/', rule) > 0")
+        rules
         .groupBy("rule")
         .agg(F.max("verdict").alias("verdict"))
         .withColumn("length", F.length("rule") - split + 1)
