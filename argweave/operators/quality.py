@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argweave.operators.lineage import run_folder, write_out
 from argweave.schemas import EDGE_KINDS, EDGES, GRAPHS, NODE_KINDS, NODES, POLARITIES, GraphTables, stored
 
 REPORT = ("rule", "table", "key", "detail")
@@ -106,15 +107,63 @@ def dangling(rows: DataFrame, table: str, column: str, parents: DataFrame) -> Da
     )
 
 
+def _entries(rows: DataFrame, table: str) -> DataFrame:
+    """(space, key, defines, refers) of one table in one scan: each value of a unique column defines its key in the space
+    `table.column`; each value of a foreign key refers, by its rule, to a key of its parent's space."""
+    primary, unique, foreign = KEYS[table]
+    no_rule = F.lit(None).cast("string")
+    own = [(f"{table}.{c}", c, F.lit(1), no_rule) for c in (primary, *unique)]
+    own += [(f"{parent}.{KEYS[parent][0]}", c, F.lit(0), F.lit(f"{table}_{c}_fkey")) for c, parent in foreign.items()]
+    entries = [
+        F.struct(F.lit(space).alias("space"), F.col(c).cast("string").alias("key"), defines.alias("defines"), refers.alias("refers"))
+        for space, c, defines, refers in own
+    ]
+    return rows.select(F.inline(F.array(*entries))).where("key is not null")
+
+
+def faulty_keys(tables: GraphTables) -> DataFrame:
+    """(space, key, rows, refers) of the keys that are defined more than once, or not at all and referred to.
+
+    Definitions and references of all tables meet in one aggregate, which sums them in each task before the shuffle, so
+    neither a key that very many rows share nor the number of rules costs more than a row per key and task.
+    """
+    entries = reduce(DataFrame.unionByName, (_entries(rows, name) for name, rows in tables._asdict().items()))
+    keys = entries.groupBy("space", "key").agg(F.sum("defines").alias("rows"), F.collect_set("refers").alias("refers"))
+    return keys.where((F.col("rows") > 1) | ((F.col("rows") == 0) & (F.size("refers") > 0)))
+
+
+def _repeated(faulty: DataFrame) -> DataFrame:
+    """Reports of the keys that are defined more than once."""
+    rule, owner = F.lit(None), F.lit(None)
+    for table, (primary, unique, _) in KEYS.items():
+        for column in (primary, *unique):
+            here = F.col("space") == f"{table}.{column}"
+            rule = F.when(here, f"{table}_pkey" if column == primary else f"{table}_{column}_key").otherwise(rule)
+            owner = F.when(here, table).otherwise(owner)
+    repeated = faulty.where("rows > 1")
+    return repeated.select(rule.alias("rule"), owner.alias("table"), "key", F.col("rows").cast("string").alias("detail"))
+
+
+def _dangling_rows(rows: DataFrame, table: str, faulty: DataFrame) -> DataFrame:
+    """Reports of the rows of one table that refer to a key that is not defined, for all its foreign keys at once."""
+    foreign = KEYS[table][2]
+    references = [
+        F.struct(F.lit(f"{table}_{c}_fkey").alias("rule"), F.lit(f"{parent}.{KEYS[parent][0]}").alias("space"), F.col(c).cast("string").alias("detail"))
+        for c, parent in foreign.items()
+    ]
+    missing = faulty.where("rows = 0").select("space", F.col("key").alias("detail"))
+    found = rows.select(F.col("id").cast("string").alias("key"), F.inline(F.array(*references)))
+    found = found.join(missing, ["space", "detail"], "left_semi")
+    return found.select("rule", F.lit(table).alias("table"), "key", "detail")
+
+
 def violations(tables: GraphTables) -> DataFrame:
-    """All rules over all tables. The tables are read several times, so they should be stored or cheap."""
+    """All rules over all tables. Each table is read once for its keys, once for its checks and, if it has foreign keys,
+    once more for the rows of missing keys, so the tables should be stored or cheap. Faulty keys are stored on the way."""
     named = tables._asdict()
-    reports = []
-    for table, (primary, unique, foreign) in KEYS.items():
-        rows = named[table]
-        reports.append(check_rows(rows, table))
-        reports += [duplicate_keys(rows, table, column) for column in (primary, *unique)]
-        reports += [dangling(rows, table, column, named[parent]) for column, parent in foreign.items()]
+    faulty = write_out(faulty_keys(tables), f"{run_folder(tables.graphs.sparkSession)}/faulty")
+    reports = [check_rows(rows, table) for table, rows in named.items()] + [_repeated(faulty)]
+    reports += [_dangling_rows(rows, table, faulty) for table, rows in named.items() if KEYS[table][2]]
     return reduce(DataFrame.unionByName, reports)
 
 

@@ -363,6 +363,29 @@ layers AS (
 )
 """
 
+# Components by mutual reach, then the longest path over components.
+TANGLED = """
+links AS (
+  SELECT from_node_id AS a, to_node_id AS b FROM edges
+  UNION SELECT 'T' || conv_id || '-2', 'T' || conv_id || '-4' FROM conversations WHERE turn = 4
+),
+reach AS (
+  SELECT id AS a, id AS b FROM nodes
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+heads AS (
+  SELECT r.a AS id, min(r.b) AS head FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY r.a
+),
+steps AS (
+  SELECT DISTINCT x.head AS a, y.head AS b
+  FROM links JOIN heads x ON x.id = links.a JOIN heads y ON y.id = links.b WHERE x.head <> y.head
+),
+strides AS (
+  SELECT DISTINCT head AS id, 0 AS step FROM heads WHERE head NOT IN (SELECT a FROM steps)
+  UNION SELECT steps.a, step + 1 FROM strides JOIN steps ON steps.b = strides.id
+)
+"""
+
 POSITIONS = """
 SELECT graph_id, id, layer, CAST(slot AS BIGINT) AS slot, 24 + layer * 330 AS x,
        CAST(24 + slot * 142 AS BIGINT) AS y, 'left' AS "sourcePosition", 'right' AS "targetPosition"
@@ -592,11 +615,12 @@ ORACLE: dict[str, str] = {
       FROM edges
     ) JOIN numbered ON old_id = graph_id
     """,
-    # On the ring there is no layer to be right of.
     "cyclic_positions": _with(DIALOGUE, "layers AS (SELECT graph_id, id, 0 AS layer FROM nodes)") + POSITIONS,
-    # Every turn of a conversation with several turns lies on the ring; a single turn is a sink.
-    "cyclic_layers": _with(DIALOGUE)
+    # Every turn of a conversation with several turns lies on the ring, which is one sink; a single turn is a sink too.
+    "cyclic_layers": _with(DIALOGUE) + "SELECT graph_id, id, 0 AS layer FROM nodes",
+    "tangled_layers": _with(DIALOGUE, TANGLED, recursive=True)
     + """
-    SELECT graph_id, id, CASE WHEN count(*) OVER (PARTITION BY graph_id) = 1 THEN 0 END AS layer FROM nodes
+    SELECT graph_id, nodes.id, max(step) AS layer
+    FROM nodes JOIN heads USING (id) JOIN strides ON strides.id = heads.head GROUP BY graph_id, nodes.id
     """,
 }

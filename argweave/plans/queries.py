@@ -588,16 +588,25 @@ def _survivors(tables: GraphTables) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def _keys_of(tables: GraphTables) -> GraphTables:
+    """The columns that a delete is decided on."""
+    return GraphTables(
+        tables.graphs.select("id", "description"),
+        tables.nodes.select("id", "graph_id", "kind"),
+        tables.edges.select("id", "graph_id", "from_node_id", "to_node_id"),
+    )
+
+
 @query
 def cascade_delete_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
+    tables = _stored(_keys_of(commerce(spark, sf_dir, weights=False)))
     doomed = tables.graphs.where(F.col("description") == "BUILDING")
     return _survivors(cascade.delete_graphs(tables, doomed))
 
 
 @query
 def cascade_delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
+    tables = _stored(_keys_of(commerce(spark, sf_dir, weights=False)))
     doomed = tables.nodes.where(F.col("kind") == "counter")
     return _survivors(cascade.delete_nodes(tables, doomed))
 
@@ -694,7 +703,7 @@ def drawn_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cyclic_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose first turn answers the last one: no node on the ring has a layer."""
+    """Conversations whose first turn answers the last one: all turns are on one cycle and share a layer."""
     return _ring_layers(spark, sf_dir)
 
 
@@ -713,3 +722,14 @@ def _ring_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ends = tables.edges.select("from_node_id", "to_node_id")
     return layout.assign_layers(tables.nodes, ends.unionByName(back))
+
+
+@query
+def tangled_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turn 2 also answers turn 4: later turns lead into that cycle, earlier ones follow from it."""
+    tables = dialogue(spark, sf_dir)
+    fourth = tables.nodes.where(F.col("id").endswith("-4"))
+    turn = F.concat_ws("-", F.concat(F.lit("T"), "graph_id"), F.lit(2))
+    back = fourth.select(turn.alias("from_node_id"), F.col("id").alias("to_node_id"))
+    ends = tables.edges.select("from_node_id", "to_node_id")
+    return layout.assign_layers(tables.nodes, ends.unionByName(back))

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from argweave.operators import layout
 from argweave.operators.layout import assign_layers, place
+from argweave.operators.lineage import write_out
 from tests import seed
 from tests.conftest import rows
 
@@ -40,13 +45,58 @@ def test_nodes_without_links(spark):
     assert layers(spark, "1:a 2:b", "") == {"a": 0, "b": 0}
 
 
-def test_cycles_and_what_leads_into_them_have_no_layer(spark):
+def test_nodes_of_a_cycle_share_a_layer_and_count_once(spark):
     got = layers(spark, "1:r 1:a 1:b 1:c 1:d 1:e", "a>r b>c c>b d>b d>r e>a")
-    assert got == {"r": 0, "a": 1, "e": 2, "b": None, "c": None, "d": None}
+    assert got == {"r": 0, "a": 1, "e": 2, "b": 0, "c": 0, "d": 1}
 
 
 def test_only_cycles(spark):
-    assert layers(spark, "1:a 1:b 1:x", "a>b b>a") == {"a": None, "b": None, "x": 0}
+    assert layers(spark, "1:a 1:b 1:x", "a>b b>a x>x") == {"a": 0, "b": 0, "x": 0}
+
+
+def expected_layers(names, links):
+    """Components by reachability, then the longest paths over them, by plain loops."""
+    reach = {n: {n} for n in names}
+    grown = True
+    while grown:
+        grown = False
+        for a, b in links:
+            if not reach[b] <= reach[a]:
+                reach[a] |= reach[b]
+                grown = True
+    head = {n: min(m for m in reach[n] if n in reach[m]) for n in names}
+    layer = dict.fromkeys(names, 0)
+    for _ in names:
+        for a, b in links:
+            if head[a] != head[b]:
+                high = max(layer[a], layer[b] + 1)
+                layer.update({n: high for n in names if head[n] == head[a]})
+    return layer
+
+
+@pytest.mark.parametrize("seed_", [1, 2, 3])
+def test_layers_of_random_graphs_with_cycles(spark, seed_):
+    chance = random.Random(seed_)
+    names = [f"n{k:02}" for k in range(26)]
+    links = [tuple(chance.sample(names, 2)) for _ in range(30)]
+    got = layers(spark, " ".join(f"1:{n}" for n in names), " ".join(f"{a}>{b}" for a, b in links))
+    assert got == expected_layers(names, links)
+
+
+def test_two_cycles_with_a_bridge(spark):
+    got = layers(spark, "1:a 1:b 1:m 1:n 1:x 1:y 1:t", "a>b b>a a>m m>n n>x x>y y>x y>t")
+    assert got == {"t": 0, "x": 1, "y": 1, "n": 2, "m": 3, "a": 4, "b": 4}
+
+
+def test_a_chain_of_2000_nodes_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(layout, "write_out", lambda df, path: (written.append(path), write_out(df, path))[1])
+    name = F.format_string("n%05d", "id")
+    nodes = spark.range(2000).select(F.lit(1).alias("graph_id"), name.alias("id"))
+    links = spark.range(1, 2000).select(name.alias("from_node_id"), F.format_string("n%05d", F.col("id") - 1).alias("to_node_id"))
+    got = {r.id: r.layer for r in assign_layers(nodes, links).collect()}
+    assert got == {f"n{k:05}": k for k in range(2000)}
+    assert len([p for p in written if "/nodes-" in p]) <= 15
 
 
 def test_long_chain(spark):
@@ -77,10 +127,10 @@ def test_boxes_of_a_very_wide_layer(spark):
     assert [dict(got.dtypes)[c] for c in ("layer", "slot", "x", "y")] == ["int", "bigint", "int", "bigint"]
 
 
-def test_nodes_without_a_layer_stand_right_of_the_others(spark):
-    nodes, links = graph(spark, "1:a 1:b 1:x 1:y 2:c 2:d", "a>b b>a y>x c>d d>c")
+def test_nodes_of_a_cycle_stand_in_one_layer(spark):
+    nodes, links = graph(spark, "1:a 1:b 1:x 1:y 2:c 2:d", "a>b b>a y>x a>x c>d d>c")
     got = place(assign_layers(nodes, links))
     assert sorted(rows(got, "graph_id", "id", "layer", "slot", "x", "y")) == [
-        (1, "a", 2, 0, 684, 24), (1, "b", 2, 1, 684, 166), (1, "x", 0, 0, 24, 24), (1, "y", 1, 0, 354, 24),
+        (1, "a", 1, 0, 354, 24), (1, "b", 1, 1, 354, 166), (1, "x", 0, 0, 24, 24), (1, "y", 1, 2, 354, 308),
         (2, "c", 0, 0, 24, 24), (2, "d", 0, 1, 24, 166),
     ]
