@@ -107,27 +107,27 @@ def dangling(rows: DataFrame, table: str, column: str, parents: DataFrame) -> Da
     )
 
 
-def _entries(rows: DataFrame, table: str) -> DataFrame:
+def entries(rows: DataFrame, table: str, references: bool = True) -> DataFrame:
     """(space, key, defines, refers) of one table in one scan: each value of a unique column defines its key in the space
     `table.column`; each value of a foreign key refers, by its rule, to a key of its parent's space."""
     primary, unique, foreign = KEYS[table]
     no_rule = F.lit(None).cast("string")
     own = [(f"{table}.{c}", c, F.lit(1), no_rule) for c in (primary, *unique)]
-    own += [(f"{parent}.{KEYS[parent][0]}", c, F.lit(0), F.lit(f"{table}_{c}_fkey")) for c, parent in foreign.items()]
-    entries = [
+    if references:
+        own += [(f"{parent}.{KEYS[parent][0]}", c, F.lit(0), F.lit(f"{table}_{c}_fkey")) for c, parent in foreign.items()]
+    found = [
         F.struct(F.lit(space).alias("space"), F.col(c).cast("string").alias("key"), defines.alias("defines"), refers.alias("refers"))
         for space, c, defines, refers in own
     ]
-    return rows.select(F.inline(F.array(*entries))).where("key is not null")
+    return rows.select(F.inline(F.array(*found))).where("key is not null")
 
 
-def faulty_keys(tables: GraphTables) -> DataFrame:
+def faulty(entries: DataFrame) -> DataFrame:
     """(space, key, rows, refers) of the keys that are defined more than once, or not at all and referred to.
 
     Definitions and references of all tables meet in one aggregate, which sums them in each task before the shuffle, so
     neither a key that very many rows share nor the number of rules costs more than a row per key and task.
     """
-    entries = reduce(DataFrame.unionByName, (_entries(rows, name) for name, rows in tables._asdict().items()))
     keys = entries.groupBy("space", "key").agg(F.sum("defines").alias("rows"), F.collect_set("refers").alias("refers"))
     return keys.where((F.col("rows") > 1) | ((F.col("rows") == 0) & (F.size("refers") > 0)))
 
@@ -160,11 +160,20 @@ def _dangling_rows(rows: DataFrame, table: str, faulty: DataFrame) -> DataFrame:
 def violations(tables: GraphTables) -> DataFrame:
     """All rules over all tables. Each table is read once for its keys, once for its checks and, if it has foreign keys,
     once more for the rows of missing keys, so the tables should be stored or cheap. Faulty keys are stored on the way."""
+    keys = reduce(DataFrame.unionByName, (entries(rows, name) for name, rows in tables._asdict().items()))
+    return reports(tables, write_out(faulty(keys), fault_folder(tables)))
+
+
+def fault_folder(tables: GraphTables) -> str:
+    return f"{run_folder(tables.graphs.sparkSession)}/faulty"
+
+
+def reports(tables: GraphTables, faulty: DataFrame) -> DataFrame:
+    """The rows of the tables that break a rule, and the stored `faulty` keys that are defined more than once."""
     named = tables._asdict()
-    faulty = write_out(faulty_keys(tables), f"{run_folder(tables.graphs.sparkSession)}/faulty")
-    reports = [check_rows(rows, table) for table, rows in named.items()] + [_repeated(faulty)]
-    reports += [_dangling_rows(rows, table, faulty) for table, rows in named.items() if KEYS[table][2]]
-    return reduce(DataFrame.unionByName, reports)
+    found = [check_rows(rows, table) for table, rows in named.items()] + [_repeated(faulty)]
+    found += [_dangling_rows(rows, table, faulty) for table, rows in named.items() if KEYS[table][2]]
+    return reduce(DataFrame.unionByName, found)
 
 
 def summary(violations: DataFrame) -> DataFrame:

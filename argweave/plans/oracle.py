@@ -623,4 +623,34 @@ ORACLE: dict[str, str] = {
     SELECT graph_id, nodes.id, max(step) AS layer
     FROM nodes JOIN heads USING (id) JOIN strides ON strides.id = heads.head GROUP BY graph_id, nodes.id
     """,
+    "appended_batches": _with(DIALOGUE)
+    + """
+    , sizes AS (
+      SELECT 'graphs' AS rule, id AS graph_id, count(*) AS n FROM graphs GROUP BY id
+      UNION ALL SELECT 'nodes', graph_id, count(*) FROM nodes GROUP BY graph_id
+      UNION ALL SELECT 'edges', graph_id, count(*) FROM edges GROUP BY graph_id
+    ), tables(rule) AS (VALUES ('graphs'), ('nodes'), ('edges')),
+    batches(batch, accepted, whole) AS (VALUES ('1 odd', true, false), ('2 again', false, false), ('3 lost', false, false), ('4 even', true, true)),
+    taken AS (
+      SELECT batch, accepted, rule, CAST(coalesce(sum(n) FILTER (WHERE whole OR graph_id % 2 = 1), 0) AS BIGINT) AS rows
+      FROM batches CROSS JOIN tables LEFT JOIN sizes USING (rule) GROUP BY ALL
+    ), refused AS (
+      SELECT '2 again' AS batch, unnest(CASE rule WHEN 'graphs' THEN ['graphs_pkey', 'graphs_slug_key'] ELSE [rule || '_pkey'] END) AS rule, n
+      FROM sizes WHERE graph_id % 10 = 5
+      UNION ALL
+      SELECT '3 lost', 'edges_to_node_id_fkey', count(*) FROM edges WHERE graph_id % 5 = 0 AND id LIKE '%-1'
+      UNION ALL
+      SELECT '3 lost', unnest(['edges_from_node_id_fkey', 'edges_graph_id_fkey']), count(*) FROM edges WHERE graph_id % 10 = 0 AND id LIKE '%-1'
+    )
+    SELECT * FROM taken
+    UNION ALL
+    SELECT batch, false, rule, CAST(sum(n) AS BIGINT) FROM refused GROUP BY batch, rule HAVING sum(n) > 0
+    """,
+    "multiline_roundtrip": _with(DIALOGUE)
+    + """
+    SELECT slug, nodes.id, kind, nodes.title, body_text AS "bodyText",
+           CAST(row_number() OVER (PARTITION BY graph_id ORDER BY nodes.id) - 1 AS INTEGER) AS pos
+    FROM nodes JOIN graphs ON graphs.id = graph_id
+    """,
+    "bucketed_overview": _with(COMMERCE) + OVERVIEW,
 }

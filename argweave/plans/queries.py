@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from argweave.plans.defects import defective_edges, defective_graphs, defective_
 from argweave.schemas import DOCUMENT, GraphTables
 from argweave.sources import documents as document_files
 from argweave.sources import tables as stores
+from argweave.sources import versions
 from argweave.sources.corpus import (
     commerce,
     commerce_edges,
@@ -733,3 +735,62 @@ def tangled_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = fourth.select(turn.alias("from_node_id"), F.col("id").alias("to_node_id"))
     ends = tables.edges.select("from_node_id", "to_node_id")
     return layout.assign_layers(tables.nodes, ends.unionByName(back))
+
+
+# Stores that grow, files over many lines, tables in buckets
+
+
+def _conversations(tables: GraphTables, condition: Column) -> GraphTables:
+    """The graphs of a condition on `graph_id`, with their nodes and edges."""
+    graphs = tables.graphs.withColumn("graph_id", F.col("id")).where(condition).drop("graph_id")
+    return GraphTables(graphs, tables.nodes.where(condition), tables.edges.where(condition))
+
+
+@query
+def appended_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sound batches and two unsound ones: the rows of each table after every batch, and the violations of refused ones."""
+    tables, path = _stored(dialogue(spark, sf_dir)), run_folder(spark)
+    versions.create(spark, path)
+    odd = F.col("graph_id") % 2 == 1
+    fifth = _conversations(tables, F.col("graph_id") % 5 == 0)
+    none = GraphTables(*(rows.where(F.lit(False)) for rows in tables))
+    lost = tables.edges.where((F.col("graph_id") % 5 == 0) & F.col("id").endswith("-1"))
+    lost = lost.withColumns({"id": F.concat(F.lit("X"), "id"), "to_node_id": F.concat("to_node_id", F.lit("-gone"))})
+    batches = {
+        "1 odd": _conversations(tables, odd),
+        "2 again": fifth,  # some of its keys are stored
+        "3 lost": GraphTables(none.graphs, none.nodes, lost),
+        "4 even": _conversations(tables, ~odd),
+    }
+    told = []
+    for name, batch in batches.items():
+        version, report = versions.append(batch, path)
+        now = versions.read(spark, path)
+        said = quality.summary(report).select("rule", F.col("violations").alias("rows"))
+        for table, rows in now._asdict().items():
+            said = said.unionByName(rows.agg(F.count("*").alias("rows")).select(F.lit(table).alias("rule"), "rows"))
+        told.append(said.select(F.lit(name).alias("batch"), F.lit(version is not None).alias("accepted"), "rule", "rows"))
+    return told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3])
+
+
+@query
+def multiline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full documents as pretty-printed files, and read back as tables: the nodes."""
+    path = run_folder(spark)
+    document_files.write_document_files(docs.documents(_stored(dialogue(spark, sf_dir)), full=True), path, 10)
+    tables = docs.to_tables(document_files.read_document_files(spark, path))
+    slugs = tables.graphs.select(F.col("id").alias("graph_id"), "slug")
+    return tables.nodes.join(slugs, "graph_id").select("slug", "id", "kind", "title", F.col("body_text").alias("bodyText"), F.col("pos").cast("int").alias("pos"))
+
+
+@query
+def bucketed_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph overview over bucketed tables: rows are counted and joined where they are stored."""
+    prefix = f"b{uuid.uuid4().hex}"
+    stores.write_buckets(_keys_of_counts(commerce(spark, sf_dir, weights=False)), prefix, 8)
+    return overview.overview(GraphTables(*(spark.table(f"{prefix}_{name}") for name in GraphTables._fields)))
+
+
+def _keys_of_counts(tables: GraphTables) -> GraphTables:
+    """The columns that an overview needs."""
+    return GraphTables(tables.graphs, tables.nodes.select("id", "graph_id"), tables.edges.select("id", "graph_id"))
