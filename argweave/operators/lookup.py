@@ -61,6 +61,11 @@ def strict_lookup(rows: DataFrame, requests: DataFrame) -> DataFrame:
     return lookup(rows, requests).where(F.assert_true("found", message).isNull()).drop("found")
 
 
+def by_id(rows: DataFrame, *ids: str) -> DataFrame:
+    """The rows with these ids. Ids are literals, so that statistics and Bloom filters of stored files tell which to read."""
+    return rows.where(F.col("id").isin(*ids))
+
+
 def pick_nodes(nodes: DataFrame, selection: DataFrame) -> DataFrame:
     """The nodes named by a selection (graph_id, node_id); a selection without a node gives no row."""
     wanted = selection.select("graph_id", F.col("node_id").alias("id"))

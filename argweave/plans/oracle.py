@@ -653,4 +653,10 @@ ORACLE: dict[str, str] = {
     FROM nodes JOIN graphs ON graphs.id = graph_id
     """,
     "bucketed_overview": _with(COMMERCE) + OVERVIEW,
+    "point_lookup": _with(COMMERCE)
+    + """
+    SELECT 'graphs' AS "table", CAST(id AS VARCHAR) AS id FROM graphs WHERE slug = 'customer-7'
+    UNION ALL SELECT 'nodes', id FROM nodes WHERE id IN ('R7', 'C7', 'P7-1', 'none')
+    UNION ALL SELECT 'edges', id FROM edges WHERE id IN ('E-7', 'E-7-1')
+    """,
 }

@@ -794,3 +794,18 @@ def bucketed_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _keys_of_counts(tables: GraphTables) -> GraphTables:
     """The columns that an overview needs."""
     return GraphTables(tables.graphs, tables.nodes.select("id", "graph_id"), tables.edges.select("id", "graph_id"))
+
+
+@query
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single rows of stored tables by their unique keys: a graph by slug, nodes and edges by id."""
+    path = run_folder(spark)
+    stores.write_tables(GraphTables(*(stores.typed(rows, name) for name, rows in commerce(spark, sf_dir, weights=False)._asdict().items())), path)
+    tables = stores.read_tables(spark, path)
+    found = {
+        "graphs": lookup.graph_by_slug(tables.graphs, "customer-7").withColumn("id", F.col("id").cast("string")),
+        "nodes": lookup.by_id(tables.nodes, "R7", "C7", "P7-1", "none"),
+        "edges": lookup.by_id(tables.edges, "E-7", "E-7-1"),
+    }
+    rows = [df.select(F.lit(name).alias("table"), "id") for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from argweave.operators import cascade, documents, overview, quality
+from argweave.operators import cascade, documents, lookup, overview, quality
 from argweave.schemas import GraphTables
 from argweave.sources import documents as files
 from argweave.sources import tables as stores
@@ -137,3 +137,29 @@ def test_overview_of_buckets_has_no_exchange(spark, seed_tables):
         assert found.head().node_count == seed_tables.nodes.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def scanned(df) -> int:
+    """Rows that the scan of an executed plan put out: whole row groups, unless they were skipped."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_by_id_skips_files_by_their_filters(spark, seed_tables, tmp_path):
+    hashed = F.sha2(F.col("n").cast("string"), 256).alias("id")  # every file has ids from all over the range
+    many = spark.range(40_000).withColumnRenamed("id", "n").select("n", hashed, (F.col("n") % 8).cast("int").alias("graph_id"))
+    node = seed_tables.nodes.limit(1).drop("id", "graph_id")
+    nodes = many.join(node, F.lit(True)).drop("n").select(*seed_tables.nodes.columns)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data would be one file
+    try:
+        stores.write_tables(GraphTables(seed_tables.graphs, nodes, seed_tables.edges), str(tmp_path / "store"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = stores.read_tables(spark, str(tmp_path / "store")).nodes
+    groups = len(list((tmp_path / "store" / "nodes").glob("*.parquet")))
+    one = many.where("n = 4321").head().id
+    found = lookup.by_id(stored, one)
+    assert groups > 2 and scanned(found) < 20_000
+    assert [r.id for r in found.collect()] == [one]
+    assert scanned(lookup.by_id(stored, "5" * 64)) < 20_000
