@@ -91,7 +91,7 @@ def nodes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edges_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.edge_rows(commerce_edges(spark, sf_dir, weights=False))
+    return lookup.edge_rows(commerce_edges(spark, sf_dir))
 
 
 @query
@@ -156,7 +156,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lookup.graphs_by_slug(commerce_graphs(spark, sf_dir), _requests(spark, sf_dir))
-    return lookup.edge_rows(lookup.children(commerce_edges(spark, sf_dir, weights=False), found))
+    return lookup.edge_rows(lookup.children(commerce_edges(spark, sf_dir), found))
 
 
 @query
@@ -166,7 +166,7 @@ def single_graph_per_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
+    tables = commerce(spark, sf_dir)
     return lookup.lookup(overview.overview(tables), _requests(spark, sf_dir))
 
 
@@ -236,7 +236,7 @@ def _full_listing(documents: DataFrame) -> DataFrame:
 
 @query
 def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _narrow_listing(docs.documents(_stored(commerce(spark, sf_dir, weights=False))))
+    return _narrow_listing(docs.documents(_stored(commerce(spark, sf_dir))))
 
 
 @query
@@ -313,12 +313,12 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.count_rows(commerce_edges(spark, sf_dir, weights=False), "edge_count")
+    return overview.count_rows(commerce_edges(spark, sf_dir), "edge_count")
 
 
 @query
 def graph_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.overview(commerce(spark, sf_dir, weights=False))
+    return overview.overview(commerce(spark, sf_dir))
 
 
 @query
@@ -331,7 +331,7 @@ def dialogue_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kind_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
+    tables = commerce(spark, sf_dir)
     both = tables.nodes.select("id", "kind").unionByName(tables.edges.select("id", "kind"))
     return both.select("id", display.format_kind(F.col("kind")).alias("label"))
 
@@ -366,7 +366,7 @@ def price_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = commerce(spark, sf_dir, weights=False)
+    tables = commerce(spark, sf_dir)
     kind = F.col("kind")
     nodes = tables.nodes.select("id", display.class_name("node", kind).alias("class_name"))
     return nodes.unionByName(tables.edges.select("id", display.class_name("edge", kind).alias("class_name")))
@@ -414,7 +414,7 @@ def flow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flow_edges(commerce_edges(spark, sf_dir, weights=False))
+    return views.flow_edges(commerce_edges(spark, sf_dir))
 
 
 @query
@@ -463,12 +463,12 @@ def attribute_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Integrity rules
 
 
-def _defective(spark: SparkSession, sf_dir: str, weights: bool = False) -> GraphTables:
-    return with_defects(commerce(spark, sf_dir, weights))
+def _defective(spark: SparkSession, sf_dir: str) -> GraphTables:
+    return with_defects(commerce(spark, sf_dir))
 
 
 def _edge_rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    edges = defective_edges(commerce_edges(spark, sf_dir, weights=rule == "ck_edges_weight"))
+    edges = defective_edges(commerce_edges(spark, sf_dir))
     return quality.check_rows(edges, "edges").where(F.col("rule") == rule)
 
 
@@ -547,7 +547,7 @@ def violations_edge_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violations_edge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = defective_edges(commerce_edges(spark, sf_dir, weights=False))
+    edges = defective_edges(commerce_edges(spark, sf_dir))
     return quality.dangling(edges, "edges", "graph_id", defective_graphs(commerce_graphs(spark, sf_dir)))
 
 
@@ -559,7 +559,7 @@ def violations_node_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violations_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.summary(quality.violations(_stored(_defective(spark, sf_dir, weights=True))))
+    return quality.summary(quality.violations(_stored(_defective(spark, sf_dir))))
 
 
 @query
@@ -576,7 +576,7 @@ def violations_clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def violations_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.counts(quality.violations(_stored(_defective(spark, sf_dir, weights=True))))
+    return quality.counts(quality.violations(_stored(_defective(spark, sf_dir))))
 
 
 # Deletes
@@ -601,14 +601,14 @@ def _keys_of(tables: GraphTables) -> GraphTables:
 
 @query
 def cascade_delete_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _stored(_keys_of(commerce(spark, sf_dir, weights=False)))
+    tables = _stored(_keys_of(commerce(spark, sf_dir)))
     doomed = tables.graphs.where(F.col("description") == "BUILDING")
     return _survivors(cascade.delete_graphs(tables, doomed))
 
 
 @query
 def cascade_delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _stored(_keys_of(commerce(spark, sf_dir, weights=False)))
+    tables = _stored(_keys_of(commerce(spark, sf_dir)))
     doomed = tables.nodes.where(F.col("kind") == "counter")
     return _survivors(cascade.delete_nodes(tables, doomed))
 
@@ -619,7 +619,7 @@ def cascade_delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load first, apply the rules afterwards."""
-    return quality.summary(stores.bulk_load(_defective(spark, sf_dir, weights=True), run_folder(spark)))
+    return quality.summary(stores.bulk_load(_defective(spark, sf_dir), run_folder(spark)))
 
 
 @query
@@ -673,12 +673,12 @@ def _layers(tables: GraphTables) -> DataFrame:
 
 @query
 def layer_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layers(commerce(spark, sf_dir, weights=False))
+    return _layers(commerce(spark, sf_dir))
 
 
 @query
 def layout_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.place(_layers(commerce(spark, sf_dir, weights=False)))
+    return layout.place(_layers(commerce(spark, sf_dir)))
 
 
 @query
@@ -787,7 +787,7 @@ def multiline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph overview over bucketed tables: rows are counted and joined where they are stored."""
     prefix = f"b{uuid.uuid4().hex}"
-    stores.write_buckets(_keys_of_counts(commerce(spark, sf_dir, weights=False)), prefix, 8)
+    stores.write_buckets(_keys_of_counts(commerce(spark, sf_dir)), prefix, 8)
     return overview.overview(GraphTables(*(spark.table(f"{prefix}_{name}") for name in GraphTables._fields)))
 
 
@@ -800,7 +800,7 @@ def _keys_of_counts(tables: GraphTables) -> GraphTables:
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single rows of stored tables by their unique keys: a graph by slug, nodes and edges by id."""
     path = run_folder(spark)
-    stores.write_tables(GraphTables(*(stores.typed(rows, name) for name, rows in commerce(spark, sf_dir, weights=False)._asdict().items())), path)
+    stores.write_tables(GraphTables(*(stores.typed(rows, name) for name, rows in commerce(spark, sf_dir)._asdict().items())), path)
     tables = stores.read_tables(spark, path)
     found = {
         "graphs": lookup.graph_by_slug(tables.graphs, "customer-7").withColumn("id", F.col("id").cast("string")),

@@ -32,10 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def commerce(spark: SparkSession, sf_dir: str, weights: bool = True) -> GraphTables:
+def commerce(spark: SparkSession, sf_dir: str) -> GraphTables:
     """Graphs per customer."""
     return GraphTables(
-        commerce_graphs(spark, sf_dir), commerce_nodes(spark, sf_dir), commerce_edges(spark, sf_dir, weights)
+        commerce_graphs(spark, sf_dir), commerce_nodes(spark, sf_dir), commerce_edges(spark, sf_dir)
     )
 
 
@@ -112,13 +112,7 @@ def _side() -> Column:
     return F.when(F.col("returned"), "O").otherwise("E")
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input that comes in fewer splits than there are cores; a large input stays as it is scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _owned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their customer."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("okey"),
@@ -127,7 +121,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("returned"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
     )
-    lines = _spread(lines, "okey", "line", "supp")
     owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("okey"), F.col("o_custkey").alias("cust"))
     return lines.join(owners, "okey")
 
@@ -175,7 +168,7 @@ def commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (order, line) rows are premises, (customer, supplier, returned) rows are evidence or counters.
     okey, line, cust, supp, returned = map(F.col, ("okey", "line", "cust", "supp", "returned"))
     detail = (
-        _lines(spark, sf_dir)
+        _owned_lines(spark, sf_dir)
         .groupingSets([(okey, line, cust), (cust, supp, returned)], okey, line, cust, supp, returned)
         .agg(F.grouping(okey).alias("no_order"))
     )
@@ -205,33 +198,34 @@ def commerce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.unionByName(claims).unionByName(details)
 
 
-def commerce_edges(spark: SparkSession, sf_dir: str, weights: bool = True) -> DataFrame:
-    """Edges. `weights=False` leaves weights NULL and saves the aggregate and join behind them."""
+def commerce_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries to order lines, order lines to orders, and orders to customers.
+
+    A weight is an edge's share of the sum of its target. Sums are joined from the left on the key that they are grouped
+    by, so that Catalyst leaves join, sums and prices out of queries that use no weights.
+    """
     okey, line, supp, returned, cust = map(F.col, ("okey", "line", "supp", "returned", "cust"))
     # One row per delivery to a line, per line of an order, and per order of a customer.
     delivery, per_line = F.col("no_supp") == 0, F.col("no_line") == 0
     edges = (
-        _lines(spark, sf_dir)
+        _owned_lines(spark, sf_dir)
         .groupingSets(
             [(okey, line, supp, returned, cust), (okey, line, cust), (okey, cust)], okey, line, supp, returned, cust
         )
         .agg(F.grouping(supp).alias("no_supp"), F.grouping(line).alias("no_line"), F.sum("cents").alias("part"))
     )
-    weight = F.lit(None)
-    if weights:
-        # The parts of one whole are the edges into one target, at every level. The whole is a pre-aggregated sum, not
-        # a window over the target, so that a target with very many incoming edges does not end up in one task.
-        target = ["level", "target", "target_line"]
-        edges = edges.withColumns(
-            {
-                "level": F.col("no_supp") + F.col("no_line"),
-                "target": F.when(per_line, okey).otherwise(cust),
-                "target_line": F.when(delivery, line).otherwise(-1),
-            }
-        )
-        edges = edges.join(edges.groupBy(*target).agg(F.sum("part").alias("whole")), target)
-        hundred_thousandths = F.expr("cast(part as decimal(20,0)) * 100000 div whole")
-        weight = hundred_thousandths.cast("decimal(10,0)") / F.lit(100000).cast("decimal(6,0)")
+    # The parts of one whole are the edges into one target, at every level. The whole is a pre-aggregated sum, not
+    # a window over the target, so that a target with very many incoming edges does not end up in one task.
+    target = ["level", "target", "target_line"]
+    edges = edges.withColumns(
+        {
+            "level": F.col("no_supp") + F.col("no_line"),
+            "target": F.when(per_line, okey).otherwise(cust),
+            "target_line": F.when(delivery, line).otherwise(-1),
+        }
+    )
+    edges = edges.join(edges.groupBy(*target).agg(F.sum("part").alias("whole")), target, "left")
+    hundred_thousandths = F.expr("cast(part as decimal(20,0)) * 100000 div whole")
 
     rebut = delivery & returned
     return _typed(
@@ -248,6 +242,6 @@ def commerce_edges(spark: SparkSession, sf_dir: str, weights: bool = True) -> Da
         .when(per_line, F.concat(F.lit("C"), okey))
         .otherwise(F.concat(F.lit("R"), cust)),
         kind=F.when(rebut, "rebut").otherwise("support"),
-        weight=weight,
+        weight=hundred_thousandths.cast("decimal(10,0)") / F.lit(100000).cast("decimal(6,0)"),
         polarity=F.when(rebut, -1).otherwise(1),
     )

@@ -56,6 +56,7 @@ def test_entry(spark):
 
 PLANNED = [
     "graph_overview", "graph_nodes", "flow_nodes", "node_details", "violations_edge_from", "cascade_delete_graphs",
+    "edges_scan", "graph_edges", "flow_edges", "edge_counts",
 ]
 
 
