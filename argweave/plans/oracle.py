@@ -392,6 +392,77 @@ SELECT graph_id, id, layer, CAST(slot AS BIGINT) AS slot, 24 + layer * 330 AS x,
 FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, layer ORDER BY id) - 1 AS slot FROM layers)
 """
 
+# Steps as in the operator: three towards layer 0, three away from it, odd and even layers in turn.
+STEPS = 6
+
+
+def _step(number: int) -> str:
+    near, far, up = ("low", "up", 1) if number < 3 else ("up", "low", 0)
+    return f"""
+p{number + 1} AS MATERIALIZED (
+  SELECT graph_id, layer, id, via,
+         row_number() OVER (
+           PARTITION BY graph_id, layer
+           ORDER BY CASE WHEN layer % 2 = {(number + 1) % 2} THEN coalesce(mean, slot) ELSE slot END, id, via
+         ) - 1 AS slot
+  FROM p{number} LEFT JOIN (
+    SELECT s.graph_id, s.layer + {up} AS layer, {far}_id AS id, {far}_via AS via,
+           CAST(sum(slot) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean
+    FROM segments s JOIN p{number} q
+      ON q.graph_id = s.graph_id AND q.layer = s.layer + {1 - up} AND q.id = {near}_id AND q.via = {near}_via
+    GROUP BY ALL
+  ) USING (graph_id, layer, id, via)
+)
+"""
+
+
+ORDERED = (
+    """
+segments AS MATERIALIZED (
+  SELECT graph_id, layer, a AS up_id, CASE WHEN layer + 1 = top THEN '' ELSE '>' || b END AS up_via,
+         CASE WHEN layer = bottom THEN b ELSE a END AS low_id, CASE WHEN layer = bottom THEN '' ELSE '>' || b END AS low_via
+  FROM (
+    SELECT s.graph_id, a, b, s.layer AS top, t.layer AS bottom,
+           CAST(unnest(range(t.layer, s.layer)) AS INTEGER) AS layer
+    FROM links JOIN layers s ON s.id = a JOIN layers t ON t.id = b AND t.graph_id = s.graph_id WHERE s.layer > t.layer
+  )
+),
+p0 AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY graph_id, layer ORDER BY id, via) - 1 AS slot
+  FROM (
+    SELECT graph_id, layer, id, '' AS via FROM layers
+    UNION ALL SELECT graph_id, layer, low_id, low_via FROM segments WHERE low_via <> ''
+  )
+),
+"""
+    + ",".join(map(_step, range(STEPS)))
+    + ", orders AS MATERIALIZED ("
+    + " UNION ALL ".join(f"SELECT {n} AS n, * FROM p{n}" for n in range(STEPS + 1))
+    + """),
+spans AS MATERIALIZED (
+  SELECT u.n, s.graph_id, s.layer, u.slot AS u, l.slot AS l
+  FROM segments s
+  JOIN orders u ON u.graph_id = s.graph_id AND u.layer = s.layer + 1 AND u.id = up_id AND u.via = up_via
+  JOIN orders l ON l.graph_id = s.graph_id AND l.layer = s.layer AND l.id = low_id AND l.via = low_via AND l.n = u.n
+),
+crossings AS (
+  SELECT n, graph_id, coalesce(crossed, 0) AS crossed
+  FROM (SELECT DISTINCT n, graph_id FROM spans) LEFT JOIN (
+    SELECT a.n, a.graph_id, count(*) AS crossed
+    FROM spans a JOIN spans b ON b.n = a.n AND b.graph_id = a.graph_id AND b.layer = a.layer AND a.u < b.u AND a.l > b.l
+    GROUP BY ALL
+  ) USING (n, graph_id)
+),
+chosen AS MATERIALIZED (
+  SELECT graph_id, min(crossed) FILTER (n = 0) AS by_id, min(crossed) AS ordered,
+         CAST(arg_min(n, crossed * 100 + n) AS BIGINT) AS step
+  FROM crossings GROUP BY graph_id
+)
+"""
+)
+
+LINKS = "links AS (SELECT DISTINCT from_node_id AS a, to_node_id AS b FROM edges)"
+
 # Document nodes and edges with their place; graphs are numbered from 1 in slug order.
 NUMBERED = "numbered AS (SELECT id AS old_id, row_number() OVER (ORDER BY slug) AS new_id FROM graphs)"
 
@@ -598,6 +669,26 @@ ORACLE: dict[str, str] = {
     """,
     "layer_assignment": _with(COMMERCE, WALK, recursive=True) + "SELECT graph_id, id, layer FROM layers",
     "layout_positions": _with(COMMERCE, WALK, recursive=True) + POSITIONS,
+    "layer_crossings": _with(COMMERCE, WALK, LINKS, ORDERED, recursive=True) + "SELECT * FROM chosen",
+    "ordered_positions": _with(COMMERCE, WALK, LINKS, ORDERED, recursive=True)
+    + POSITIONS.replace("BY id", "BY rank").replace(
+        "FROM layers",
+        """FROM (
+          SELECT o.graph_id, id, layer, slot AS rank FROM orders o LEFT JOIN chosen c ON c.graph_id = o.graph_id
+          WHERE via = '' AND n = coalesce(step, 0)
+        )""",
+    ).replace("SELECT *, row_number", "SELECT graph_id, id, layer, row_number"),
+    "answer_crossings": _with(
+        DIALOGUE,
+        WALK,
+        LINKS.replace(
+            "FROM edges",
+            "FROM edges UNION SELECT 'T' || conv_id || '-' || turn, 'T' || conv_id || '-' || (turn // 2) FROM conversations WHERE turn > 0",
+        ),
+        ORDERED,
+        recursive=True,
+    )
+    + "SELECT * FROM chosen",
     "dialogue_layout": _with(DIALOGUE, WALK, recursive=True) + POSITIONS,
     "flow_layout": _with(DIALOGUE, WALK, recursive=True)
     + f"""

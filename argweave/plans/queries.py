@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argweave.functions import display, fields
-from argweave.operators import cascade, details, layout, lookup, overview, quality, views
+from argweave.operators import cascade, details, layout, lookup, ordering, overview, quality, views
 from argweave.operators import documents as docs
 from argweave.operators.lineage import run_folder
 from argweave.plans.defects import defective_edges, defective_graphs, defective_nodes, with_defects
@@ -737,6 +737,37 @@ def tangled_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.assign_layers(tables.nodes, ends.unionByName(back))
 
 
+@query
+def layer_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings of every graph with its layers by id and as ordered, and the step that brought the fewest."""
+    tables = commerce(spark, sf_dir)
+    return _crossings(ordering.order_layers(_layers(tables), tables.edges)[1])
+
+
+@query
+def ordered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = commerce(spark, sf_dir)
+    return layout.place(ordering.order_layers(_layers(tables), tables.edges)[0], "rank")
+
+
+@query
+def answer_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for conversations whose turns also answer the turn of half their number, over many layers."""
+    tables = dialogue(spark, sf_dir)
+    turn, conv = F.col("turn"), F.col("conv_id")
+    named = lambda number: F.concat_ws("-", F.concat(F.lit("T"), conv), number)
+    far = table(spark, sf_dir, "conversations").where(turn > 0)
+    far = far.select(named(turn).alias("from_node_id"), named(F.expr("turn div 2")).alias("to_node_id"))
+    links = tables.edges.select("from_node_id", "to_node_id").unionByName(far)
+    return _crossings(ordering.order_layers(layout.assign_layers(tables.nodes, links), links)[1])
+
+
+def _crossings(counts: DataFrame) -> DataFrame:
+    fewest = F.array_min("crossings")
+    step = F.array_position("crossings", fewest) - 1
+    return counts.select("graph_id", F.col("crossings")[0].alias("by_id"), fewest.alias("ordered"), step.alias("step"))
+
+
 # Stores that grow, files over many lines, tables in buckets
 
 
