@@ -107,5 +107,5 @@ def metric_value(kind: Column, importance: Column, confidence: Column, evidence:
 
 def class_name(element: str, kind: Column) -> Column:
     """Style class of a node or an edge, with its raw kind."""
-    base = f"graph-{element}"
+    base = f"graph-{element}"  # fixed value
     return F.concat(F.lit(f"{base} {base}--"), kind)

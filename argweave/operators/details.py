@@ -26,6 +26,7 @@ def node_details(nodes: DataFrame) -> DataFrame:
     one by one.
     """
     evidence = F.col("evidence")
+    # The labels are fixed values.
     values = {
         "Category": _shown(F.col("category")),
         "Tags": F.when(F.size("tags") > 0, F.array_join("tags", ", ")),

@@ -23,6 +23,9 @@ def _not_in(column: str, domain: tuple) -> tuple[Column, Column]:
     return ~value.isin(*domain), value.cast("string")
 
 
+# The names of the constraints are fixed values.
+
+
 def _edge_checks() -> dict[str, tuple[Column, Column]]:
     source, target = F.col("from_node_id"), F.col("to_node_id")
     return {

@@ -41,6 +41,22 @@ def test_split_conditions_quote_ids(spark):
     ]
 
 
+@pytest.mark.parametrize("table", ["graphs", "nodes", "edges"])
+def test_bounds_of_a_sample_hold_every_row_once(spark, table):
+    """Any few keys make ranges that cover all rows, those beyond the sampled ones too."""
+    keys = [f"{graph}, 'n{graph}-{k}'" for graph in range(5) for k in range(4)] if table != "graphs" else map(str, range(20))
+    columns = "(graph_id, id)" if table != "graphs" else "(id)"
+    spark.sql(f"SELECT * FROM VALUES {', '.join(f'({k})' for k in keys)} AS t{columns}").createOrReplaceTempView(table)
+    every_third = [row for row in spark.sql(database.bounds_query(table, 20)).collect() if row["place"] % 3 == 0]
+    predicates = database.range_predicates(every_third, database.KEYS[table])
+    assert [spark.table(table).where(p).count() for p in predicates] == [3, 3, 3, 3, 3, 3, 2]
+
+
+def test_bounds_sort_only_a_sample():
+    assert "FROM edges TABLESAMPLE SYSTEM (0.5)) ranked" in database.bounds_query("edges", 10, 0.5)
+    assert "TABLESAMPLE" not in database.bounds_query("edges", 10)
+
+
 def test_bulk_load_then_read(spark, tmp_path, seed_tables):
     path = str(tmp_path / "store")
     assert tables.bulk_load(seed_tables, path).count() == 0
