@@ -156,17 +156,41 @@ def test_language_model_equals_brute_force(spark, odd):
     training = [t for d, t in rows if d != 4]
     c = Counter(w for t in training for w in t)
     pairs = Counter(p for t in training for p in zip(["", *t[:-1]], t))
+    triples = Counter(p for t in training for p in zip(["", *t[:-2]], t[:-1], t[1:]))
+    after = Counter(p[:2] for t in training for p in zip(["", *t[:-2]], t[:-1], t[1:]))
     n, v = sum(c.values()), len(c)
     p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda u, w: (pairs[u, w] + ngrams.MU * p(w)) / (c[u] + ngrams.MU)
+    p3 = lambda u, x, w: (triples[u, x, w] + ngrams.MU3 * p2(x, w)) / (after[u, x] + ngrams.MU3)
+    for u, x in [("", "one"), ("a", "b"), ("word", "word"), ("never", "a"), ("never", "seen")]:
+        assert abs(sum(p3(u, x, w) for w in c) + 0.5 / (n + 0.5 * (v + 1)) - 1) < 0.01  # the rest: unknown words
     want = []
     for d, t in rows:
-        full = sum(math.log10((pairs[u, w] + ngrams.MU * p(w)) / (c[u] + ngrams.MU)) for u, w in zip(["", *t[:-1]], t))
+        full = math.log10(p2("", t[0])) + sum(math.log10(p3(*x)) for x in zip(["", *t[:-2]], t[:-1], t[1:]))
         want.append((str(d), len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p(w)) for w in t), full))
     got = [(str(r.doc_id), *r[1:]) for r in ngrams.score(odd, shape).collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 * max(1, -b[4]) and abs(a[5] - b[5]) < 1e-3 * b[1]
 
 
+def test_language_model_over_many_shards(spark, monkeypatch):
+    """Texts whose words, pairs and triples lie in many shards, of which few may be open, score as in one."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    got = {}
+    for size, held in ((1 << 30, 256), (20_000, 2)):
+        monkeypatch.setattr(ngrams, "SHARD_BYTES", size)
+        monkeypatch.setattr(ngrams, "OPEN", held)
+        got[size] = {r.doc_id: r.score for r in ngrams.score(docs, ngrams.train(docs, F.col("doc_id") % 5 != 1)).collect()}
+    one, many = got.values()
+    assert one.keys() == many.keys() and all(abs(one[d] - many[d]) < 1e-6 * abs(one[d]) for d in one)
+
+
+def test_language_model_without_training_rows(spark, odd):
+    for usable, docs in ((F.lit(False), odd), (F.lit(True), odd.limit(0))):
+        rows = ngrams.score(docs, ngrams.train(docs, usable)).collect()
+        assert len(rows) == docs.count() and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)
+
+
 def test_sentence_pieces_equal_the_library():
     import sentencepiece
 
