@@ -146,7 +146,8 @@ def fit(stats: DataFrame, labels: DataFrame, usable: Column, label: str = "quali
     """Learn from `labels` (doc_id, label 0 or 1) where `usable` holds."""
     known = labels.where(usable & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most"))
     known = known.where("y = most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "y")
-    rows = stats.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    one = stats.join(known, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*NAMES)).alias("row"))  # the same of repeated ids on each run
+    rows = one.select("doc_id", "y", "row.*").orderBy("doc_id").toArrow()
     if not rows.num_rows:
         return None
     x = np.stack([rows.column(n).to_numpy() for n in NAMES], axis=1)

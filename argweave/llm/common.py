@@ -45,6 +45,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One text for each combination of keys, the one of lowest digest, so that repeated keys give the same on each run."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def within(sample: DataFrame, size: Column, limit: int) -> DataFrame:
+    """The rows of a bounded `sample` (with doc_id), in order of the digest of doc_id, that fit in `limit` units of
+    `size` together; one that would not fit is passed over whole. For fits alone: what the driver gets stays bounded."""
+    kept = store(sample, "sample")
+    keys = [n for n in kept.columns if n != "text"]
+    rows = kept.select(*keys, F.coalesce(size, F.lit(0)).cast("long").alias("size")).orderBy(F.xxhash64("doc_id"), *keys).collect()  # a row per sampled text
+    chosen, held = [], 0
+    for row in rows:
+        if held + row["size"] <= limit:
+            held += row["size"]
+            chosen.append(tuple(row)[:-1])
+    return kept if len(chosen) == len(rows) else kept.join(sample.sparkSession.createDataFrame(chosen, kept.select(*keys).schema), keys)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A text column as one array with buffers of its own (some kernels read a slice's neighbours); NULL is the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

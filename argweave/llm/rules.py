@@ -27,9 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argweave.llm.common import in_windows, owners, sums, text_slices, texts_of, words_of
+from argweave.llm.common import in_windows, one_text, owners, sums, text_slices, texts_of, within, words_of
 
 SAMPLE, RUN = 1500, 64
+#: Lines of the sampled texts together; a text whose lines do not fit in any more is left out of the fit.
+FIT_LINES = 1_000_000
 LEAST_WORDS, MOST_REPEATED, LEAST_SHARE = 50, 50, 0.5
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -182,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
     """Learn the field from `labels` (doc_id, quality 0 or 1), within the bounds above."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most")
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "y") for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(chosen[0].unionByName(chosen[1]), "doc_id").dropDuplicates(["doc_id"])
+    sample = one_text(docs.select("doc_id", "text").join(chosen[0].unionByName(chosen[1]), "doc_id"), "doc_id", "y")
+    sample = within(sample, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, FIT_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):

@@ -3,9 +3,10 @@
 Confirmed toxic texts are the positives; other texts, of unknown label, are the unlabelled. A linear model over words
 and the beginnings of words is trained on the risk estimator
 
-    prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
+    prior * E_P[l(f)] + max(0, (1 - prior) / (1 - rest) * (E_U[l(-f)] - rest * E_P[l(-f)]))
 
-with the sigmoid loss l(z) = 1 / (1 + exp(z)). Where the bracket falls below zero the step climbs it again instead of descending. Small
+with the sigmoid loss l(z) = 1 / (1 + exp(z)). The confirmed texts are no part of U, so toxic texts are rarer in it than
+among all: of n texts with k confirmed, rest = (prior * n - k) / (n - k), at least 0. Where the bracket falls below zero the step climbs it again instead of descending. Small
 weights are pulled to zero (a lasso step), so that the many words of a long clean text add nothing.
 
 A text's features are its distinct words, lower-cased and without marks at the ends, and their first 3, 4 and 5 code
@@ -13,7 +14,8 @@ points, each counted once per distinct word. So a word's part in the score is on
 batch's distinct words, and scoring needs one pass over the texts and no shuffle.
 
 Bounds (the only sampled part is the fit): at most `POSITIVES` toxic and `UNLABELLED` other texts, lowest digest of
-doc_id first, so that the choice depends on neither order nor partitions. The prior is the share of toxic labels among
+doc_id first, so that the choice depends on neither order nor partitions, and of these as many as fit in `FIT_BYTES`
+together, whole; of several texts of one doc_id the one of lowest digest. The prior is the share of toxic labels among
 all labels that may be learned from. A text may occur more than once, under one doc_id or several; NULL and empty texts
 have no features and get the score of the bias alone. Without any positive, or nothing unlabelled, every score is 0.
 """
@@ -29,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argweave.llm.common import owners, text_slices, texts_of, words_of
+from argweave.llm.common import one_text, owners, text_slices, texts_of, within, words_of
 
 POSITIVES = 1500
 UNLABELLED = 4500
+FIT_BYTES = 128 << 20
 #: A feature is learned if at least so many sampled positives have it and its share of them is so many times its
 #: share of the unlabelled, and so many standard errors above it.
 LEAST_TEXTS, LEAST_LIFT, LEAST_Z = 4, 2.5, 4.0
@@ -73,21 +76,24 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"positive": part.column("positive"), "words": pa.array(sets, pa.list_(pa.string()))})
 
 
-def nnpu(positive: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int, prior: float) -> tuple[np.ndarray, float]:
+def slopes(f: np.ndarray, positive: np.ndarray, prior: float, rest: float) -> tuple[float, np.ndarray]:
+    """The bracket of the risk (before it is cut at 0), and what each text's f is to be moved against."""
+    share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
+    up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # l(-f)
+    down = up * (1 - up)
+    negative = np.where(positive, -rest, 1.0) * share * (1 - prior) / (1 - rest)
+    bracket = float((negative * up).sum())
+    return bracket, (negative - np.where(positive, prior * share, 0)) * down if bracket >= 0 else -negative * down
+
+
+def nnpu(positive: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int, prior: float, rest: float) -> tuple[np.ndarray, float]:
     """Weights and bias over texts given as (row, column) pairs of features, each once per distinct word that has it."""
     n = len(positive)
-    share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
     w, bias = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         f = bias + np.bincount(rows, w[columns], n)
-        up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # l(-f)
-        down = up * (1 - up)
-        negative = np.where(positive, -prior, 1.0) * share
-        if (negative * up).sum() >= 0:
-            slope = (negative - np.where(positive, prior * share, 0)) * down
-        else:
-            slope = -negative * down
+        slope = slopes(f, positive, prior, rest)[1]
         g = np.append(np.bincount(columns, slope[rows], width), slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -108,9 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     known = labels.where(usable & (F.col("toxic") == 1)).select("doc_id").distinct()
     known = known.orderBy(digest, "doc_id").limit(POSITIVES).withColumn("positive", F.lit(True))
     toxic = labels.where(F.col("toxic") == 1).select("doc_id").distinct()
-    other = docs.where(usable).select("doc_id").distinct().join(toxic.where(usable), "doc_id", "left_anti")
+    texts = docs.where(usable).select("doc_id").distinct().join(toxic.where(usable).withColumn("marked", F.lit(1)), "doc_id", "left")
+    sizes = texts.agg(F.count("*").alias("n"), F.count("marked").alias("k")).head()
+    rest = min(0.9, max(0.0, (prior * sizes["n"] - sizes["k"]) / max(1, sizes["n"] - sizes["k"])))
+    other = texts.where("marked is null").select("doc_id")
     other = other.orderBy(digest, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
-    sample = docs.select("doc_id", "text").join(known.unionByName(other), "doc_id").dropDuplicates(["doc_id"])
+    sample = within(one_text(docs.select("doc_id", "text").join(known.unionByName(other), "doc_id"), "doc_id", "positive"), F.octet_length("text"), FIT_BYTES)
     rows = sample.select("positive", "text").mapInArrow(_word_sets, "positive boolean, words array<string>").toArrow()
     positive = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool)
     if not positive.any() or positive.all():
@@ -140,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
         at_rows.append(owner[chosen])
         at_columns.append(number[codes][chosen])
         width += int(keep.sum())
-    w, bias = nnpu(positive, np.concatenate(at_rows), np.concatenate(at_columns), width, prior)
+    w, bias = nnpu(positive, np.concatenate(at_rows), np.concatenate(at_columns), width, prior, rest)
     heads = {n: (kinds[n][0], w[kinds[n][1]]) for n in HEADS}
     return Model(kinds[0][0], w[kinds[0][1]], heads, bias)
 

@@ -17,7 +17,7 @@ import pytest
 
 import corpus_pipeline
 from argweave.llm import boosting, jaccard, mtree, ngrams, packing, pieces, rules, toxicity, urls, wrappers
-from argweave.llm.common import text_slices, words_of
+from argweave.llm.common import one_text, text_slices, within, words_of
 from argweave.llm.eliasfano import EliasFano, encode
 from argweave.llm.oracle import ORACLE
 from argweave.llm.queries import QUERIES
@@ -375,6 +375,42 @@ def test_toxicity_learns_from_positive_and_unlabelled(spark, odd, labels):
         assert len(rows) == 11 and all(0 <= r.new_score <= 1 and r.kept == "clash" for r in rows)
 
 
+def test_risk_and_slopes_equal_a_plain_loop():
+    chance = np.random.default_rng(9)
+    positive = np.arange(40) < 15
+    loss = lambda z: 1 / (1 + math.exp(z))
+
+    def risk(f, prior, rest):
+        mean = lambda part, sign: sum(loss(sign * x) for x in f[part]) / part.sum()
+        return prior * mean(positive, 1), (1 - prior) / (1 - rest) * (mean(~positive, -1) - rest * mean(positive, -1))
+
+    for shift, prior, rest in ((0.0, 0.3, 0.2), (-3.0, 0.3, 0.0), (3.0, 0.4, 0.4)):
+        f = chance.normal(shift * np.where(positive, -1, 1), 1)
+        for turn in (1, -1):  # the bracket above and below 0
+            f = f * turn
+            first, bracket = risk(f, prior, rest)
+            got, slope = toxicity.slopes(f, positive, prior, rest)
+            assert abs(got - bracket) < 1e-12
+            for k in range(40):
+                near = f.copy()
+                near[k] += 1e-5
+                a, b = risk(near, prior, rest)
+                want = (a + b - first - bracket) / 1e-5 if bracket >= 0 else (bracket - b) / 1e-5
+                assert abs(slope[k] - want) < 1e-5
+    assert toxicity.slopes(np.where(positive, 9.0, -9.0), positive, 0.3, 0.3)[0] < 0
+
+
+def test_fits_stay_within_bounds_and_repeat(spark, monkeypatch):
+    rows = [(k % 50, f"line {k}\n" * (k % 7 + 1)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r.text for r in one_text(docs, "doc_id").collect()}
+    again = {r.doc_id: r.text for r in one_text(docs.orderBy(F.desc("text")).repartition(3), "doc_id").collect()}
+    assert one == again and len(one) == 50
+    part = within(one_text(docs, "doc_id"), F.octet_length("text"), 700).collect()
+    assert 0 < sum(len(r.text) for r in part) <= 700 and all(one[r.doc_id] == r.text for r in part)
+    assert within(one_text(docs, "doc_id"), F.octet_length("text"), 0).count() == 0
+
+
 def test_pipeline_keeps_columns_and_takes_effect(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("kept", F.lit(1)).withColumn("_score", F.lit("x"))
     before = docs.count()
