@@ -469,12 +469,11 @@ def _defective(spark: SparkSession, sf_dir: str) -> GraphTables:
 
 def _edge_rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     edges = defective_edges(commerce_edges(spark, sf_dir))
-    return quality.check_rows(edges, "edges").where(F.col("rule") == rule)
+    return quality.check_rows(edges, "edges", only=[rule])
 
 
 def _node_rules(spark: SparkSession, sf_dir: str, *rules: str) -> DataFrame:
-    report = quality.check_rows(defective_nodes(commerce_nodes(spark, sf_dir)), "nodes")
-    return report.where(F.col("rule").isin(*rules))
+    return quality.check_rows(defective_nodes(commerce_nodes(spark, sf_dir)), "nodes", only=rules)
 
 
 @query
@@ -516,9 +515,8 @@ def violations_node_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def violations_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _defective(spark, sf_dir)
-    rows = [quality.check_rows(rows, name) for name, rows in tables._asdict().items()]
-    report = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return report.where(F.col("rule").endswith("_not_null"))
+    rows = [quality.check_rows(rows, name, only=[f"{name}_not_null"]) for name, rows in tables._asdict().items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query

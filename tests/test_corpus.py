@@ -62,3 +62,9 @@ def test_orders_of_two_customers(spark, tmp_path):
 def test_lines_are_not_multiplied_before_a_shuffle(spark, capsys, name):
     QUERIES[name](spark, FOLDER).explain("formatted")
     assert "Expand" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["violations_edge_kind", "violations_edge_confidence", "violations_not_null"])
+def test_rules_without_weights_read_no_prices(spark, capsys, name):
+    QUERIES[name](spark, FOLDER).explain("formatted")
+    assert "l_extendedprice" not in capsys.readouterr().out
