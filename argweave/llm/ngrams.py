@@ -48,6 +48,8 @@ MU, MU3, STEP = 50.0, 5.0, 2000
 OPEN = 256
 #: Bytes of text for each shard of a level.
 SHARD_BYTES = 16 << 20
+#: Bytes of text that a task scores at once.
+SCORE_BYTES = 4 << 20
 #: Tokens whose pairs a task counts together before it sends them.
 GATHER = 2_500_000
 END = np.uint64(xxhash.xxh64_intdigest(b"") & (2**62 - 1))
@@ -478,7 +480,7 @@ def score(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level1, level2, level3 = Level1(shape), Level2(shape), Level3(shape)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SCORE_BYTES):
             names, sequence, ends = tokens_of(texts_of(part.column("text")))
             number, count, before = level1.look(names)
             base = base_log(count, shape)
