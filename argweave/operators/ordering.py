@@ -9,11 +9,14 @@ met, the first of equal ones, hence never one with more crossings than the order
 Means take the place of medians, as they come from partial sums: a node may have a third of all edges. Crossings are
 counted without pairs: two segments cross if the one that starts earlier ends later, so for every bit of the end's
 position, segments that agree in the bits above are counted, those with the bit set before those without it.
+
+Graphs of at most `WHOLE` nodes and segments are dealt by graph once, and all steps and counts are windows and sums within
+graphs from then on, which need no shuffle and no store. Only larger graphs go through a join and a store for each step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,6 +27,10 @@ from argweave.operators.skew import number_rows
 POINT = ["graph_id", "layer", "id", "via"]
 # So many starting points go into one window when crossings are counted.
 BLOCK = 4096
+# Nodes and segments, together, of a graph that is ordered in one task.
+WHOLE = 100_000
+# About so many nodes and segments are dealt to one task.
+DEAL = 250_000
 
 
 def order_layers(layers: DataFrame, edges: DataFrame, sweeps: int = 2, steps: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -37,6 +44,61 @@ def order_layers(layers: DataFrame, edges: DataFrame, sweeps: int = 2, steps: in
     folder = f"{run_folder(layers.sparkSession)}/order"
     nodes = write_out(layers.select("graph_id", "id", "layer"), f"{folder}/nodes")
     segments = write_out(_segments(nodes, edges), f"{folder}/segments")
+    rows = nodes.select("graph_id").unionByName(segments.select("graph_id")).where("graph_id is not null")
+    sizes = rows.groupBy("graph_id").agg(F.count("*").alias("rows"))
+    seen = Observation()
+    large = sizes.observe(seen, F.sum("rows").alias("rows")).where(F.col("rows") > WHOLE).select("graph_id")
+    large = write_out(large, f"{folder}/large")
+    tasks = 1 + (seen.get["rows"] or 0) // DEAL
+    if large.isEmpty():
+        return _at_once(nodes, segments, sweeps, steps, tasks, f"{folder}/whole")
+    of_small, of_large = ([rows.join(large, "graph_id", how) for rows in (nodes, segments)] for how in ("left_anti", "left_semi"))
+    both = _at_once(*of_small, sweeps, steps, tasks, f"{folder}/whole"), _by_steps(*of_large, sweeps, steps, folder)
+    return tuple(a.unionByName(b) for a, b in zip(*both, strict=True))
+
+
+def _at_once(nodes: DataFrame, segments: DataFrame, sweeps: int, steps: int, tasks: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """As `order_layers`, with each graph in one task. A row is a point, whose ends are itself, or a segment."""
+    ends = ("up", "low")
+    points = [
+        nodes.select("graph_id", "layer", "id", F.lit("").alias("via"), F.lit(True).alias("real")),
+        segments.where("low_via <> ''").select("graph_id", "layer", F.col("low_id").alias("id"), F.col("low_via").alias("via"), F.lit(False).alias("real")),
+    ]
+    points = points[0].unionByName(points[1]).where("graph_id is not null")
+    named = [F.col(name).alias(f"{end}_{name}") for end in ends for name in ("id", "via")]
+    rows = points.select("graph_id", "layer", F.lit(True).alias("point"), "real", *named).unionByName(
+        segments.select("graph_id", "layer", F.lit(False).alias("point"), F.lit(False).alias("real"), *(f"{end}_{name}" for end in ends for name in ("id", "via")))
+    )
+    wanted = max(tasks, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(wanted, "graph_id")
+    point, within = F.col("point"), lambda *keys: W.partitionBy("graph_id", *keys)
+    rows = rows.withColumn("n", F.when(point, F.row_number().over(within("point").orderBy("layer", "up_id", "up_via"))))
+    for end, layer in (("up", F.col("layer") + F.when(point, 0).otherwise(1)), ("low", F.col("layer"))):
+        rows = rows.withColumn(end, F.max("n").over(within(layer, f"{end}_id", f"{end}_via")))
+    rows = rows.select("graph_id", "layer", "point", "real", F.when(F.col("real"), F.col("up_id")).alias("id"), "n", *ends)
+    rows = rows.withColumn("width", F.count("n").over(within("layer")))
+    ranked = lambda *order: F.when(point, F.row_number().over(within("point", "layer").orderBy(*order)) - 1)
+    rows = rows.withColumn("slot", ranked("n")).withColumn("slots", F.array("slot"))
+    for step in range(sweeps * steps):
+        near, far = ("low", "up") if step // steps % 2 == 0 else ("up", "low")
+        moves = F.col("layer") % 2 == (step + 1) % 2
+        rows = rows.withColumn("near", F.when(~point, F.max("slot").over(within(near))))
+        mean = F.sum("near").over(within(far)).cast("double") / F.count("near").over(within(far))
+        rows = rows.withColumn("mean", F.when(point & moves, mean))
+        rows = rows.withColumn("key", F.coalesce("mean", F.col("slot").cast("double")))
+        rows = rows.withColumn("slot", ranked("key", "n")).drop("near", "mean", "key")
+        rows = rows.withColumn("slots", F.concat("slots", F.array("slot")))
+    both = rows
+    for end, name in (("up", "u"), ("low", "l")):
+        both = both.withColumn(name, F.max(F.when(point, F.col("slots"))).over(within(end)))
+    sums, group = _sums(both.where(~point))
+    sums = sums.withColumn("before", F.sum("ones").over(_earlier(*group, "u")))
+    counts = write_out(_by_graph(sums, F.col("zeros") * F.coalesce("before", F.lit(0)), 1 + sweeps * steps), f"{folder}/counts")
+    return _best(rows.where("real"), counts), counts
+
+
+def _by_steps(nodes: DataFrame, segments: DataFrame, sweeps: int, steps: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """As `order_layers`, with a store for each step and graphs of any size."""
     points = write_out(_points(nodes, segments), f"{folder}/points")
     points = number_rows(points, ["graph_id", "layer"], ["id", "via"], "slot").withColumn("slots", F.array("slot"))
     for step in range(sweeps * steps):
@@ -50,10 +112,14 @@ def order_layers(layers: DataFrame, edges: DataFrame, sweeps: int = 2, steps: in
         points = points.withColumn("slots", F.concat("slots", F.array("slot")))
     points = write_out(points, f"{folder}/ordered")
     counts = write_out(_counts(segments, points, 1 + sweeps * steps), f"{folder}/counts")
+    return _best(points.where("via = ''"), counts), counts
+
+
+def _best(points: DataFrame, counts: DataFrame) -> DataFrame:
+    """graph_id, id, layer and, as rank, the slot of the order with the fewest crossings."""
     best = counts.select("graph_id", (F.array_position("crossings", F.array_min("crossings"))).cast("int").alias("best"))
-    ranked = points.where("via = ''").join(best, "graph_id", "left")
-    rank = F.element_at("slots", F.coalesce("best", F.lit(1)))
-    return ranked.select("graph_id", "id", "layer", rank.alias("rank")), counts
+    rank = F.element_at("slots", F.coalesce("best", F.lit(1))).cast("bigint")
+    return points.join(best, "graph_id", "left").select("graph_id", "id", "layer", rank.alias("rank"))
 
 
 def _segments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,23 +166,35 @@ def _counts(segments: DataFrame, points: DataFrame, orders: int) -> DataFrame:
     """graph_id and the crossings of its segments in each order."""
     for end, columns in (("up", [F.col("slots").alias("u")]), ("low", [F.col("slots").alias("l"), "width"])):
         segments = segments.join(_ends(points, end, *columns), ["graph_id", "layer", f"{end}_id", f"{end}_via"])
+    sums, group = _sums(segments)
+    sums = sums.withColumn("block", F.expr(f"u div {BLOCK}"))
+    # Ones that start earlier: in earlier blocks, and earlier in the own one.
+    blocks = sums.groupBy(*group, "block").agg(F.sum("ones").alias("ones"))
+    blocks = blocks.select(*group, "block", F.sum("ones").over(_earlier(*group, "block")).alias("before"))
+    sums = sums.withColumn("within", F.sum("ones").over(_earlier(*group, "block", "u"))).join(blocks, [*group, "block"])
+    crossed = F.col("zeros") * (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0)))
+    return _by_graph(sums, crossed, orders)
+
+
+def _earlier(*keys: str) -> W:
+    return W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+
+
+def _sums(segments: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`ones` and `zeros` among the ends `l` of the segments that start at `u`, for each order and bit, and their group."""
     both = segments.select("graph_id", "layer", "width", F.posexplode(F.arrays_zip("u", "l")).alias("number", "at"))
-    # Layers of one point have no crossings; so many bits tell the points of the others.
+    # So many bits tell the points of a layer; one bit for layers of one point, so that each graph has a row.
     bits = F.length(F.bin(F.col("width") - 1))
-    ends = both.where("width > 1").select("number", "graph_id", "layer", "at.u", "at.l", F.explode(F.sequence(F.lit(0), bits - 1)).alias("bit"))
+    ends = both.select("number", "graph_id", "layer", "at.u", "at.l", F.explode(F.sequence(F.lit(0), bits - 1)).alias("bit"))
     group = ["number", "graph_id", "layer", "bit", "above"]
     set_ = F.expr("shiftright(l, bit) & 1")
     sums = ends.groupBy("number", "graph_id", "layer", "bit", F.expr("shiftright(l, bit + 1)").alias("above"), "u").agg(
         F.sum(set_).alias("ones"), F.sum(1 - set_).alias("zeros")
     )
-    sums = sums.withColumn("block", F.expr(f"u div {BLOCK}"))
-    # Ones that start earlier: in earlier blocks, and earlier in the own one.
-    earlier = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
-    blocks = sums.groupBy(*group, "block").agg(F.sum("ones").alias("ones"))
-    blocks = blocks.select(*group, "block", F.sum("ones").over(earlier(*group, "block")).alias("before"))
-    sums = sums.withColumn("within", F.sum("ones").over(earlier(*group, "block", "u"))).join(blocks, [*group, "block"])
-    crossed = F.col("zeros") * (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0)))
-    counted = sums.groupBy("graph_id", "number").agg(F.sum(crossed).alias("crossed"))
-    counted = counted.unionByName(segments.select("graph_id", F.lit(0).alias("number"), F.lit(0).cast("bigint").alias("crossed")).distinct())
-    of = [F.coalesce(F.sum(F.when(F.col("number") == n, F.col("crossed"))), F.lit(0)) for n in range(orders)]
-    return counted.groupBy("graph_id").agg(F.array(*of).alias("crossings"))
+    return sums, group
+
+
+def _by_graph(sums: DataFrame, crossed: Column, orders: int) -> DataFrame:
+    """graph_id and the sums of `crossed` for each order."""
+    of = [F.coalesce(F.sum(F.when(F.col("number") == n, crossed)), F.lit(0)).cast("bigint") for n in range(orders)]
+    return sums.groupBy("graph_id").agg(F.array(*of).alias("crossings"))

@@ -117,3 +117,28 @@ def test_a_node_with_most_edges_makes_no_pairs(spark):
     # Every third goes to b; it crosses the edges to a that start later.
     assert counts.collect()[0].crossings == [sum(2000 - 2 * k for k in range(1000)), 0]
     assert [r.id for r in ranked.where("layer = 1").orderBy("rank").limit(2).collect()] == ["n00001", "n00002"]
+
+
+@pytest.mark.parametrize("whole", [0, 50, 100_000])
+def test_large_graphs_are_ordered_as_small_ones(spark, monkeypatch, whole):
+    stored = []
+    write = ordering.write_out
+    monkeypatch.setattr(ordering, "write_out", lambda df, path: stored.append(path.rsplit("/", 1)[1]) or write(df, path))
+    monkeypatch.setattr(ordering, "WHOLE", whole)
+    chance = random.Random(3)
+    nodes, edges, plainly, rows = [], [], {}, {1: 12, 2: 30}
+    for g, size in rows.items():
+        names = [f"{'xy'[g - 1]}{k:02}" for k in range(size)]
+        links = [(names[b], names[a]) for a, b in (sorted(chance.sample(range(size), 2)) for _ in range(2 * size))]
+        nodes += [f"{g}:{n}" for n in names]
+        edges += [f"{a}>{b}" for a, b in links]
+        plainly[g] = links
+    frames = graph(spark, " ".join(nodes), " ".join(edges))
+    layers = assign_layers(*frames)
+    layer = {r.id: r.layer for r in layers.collect()}
+    ranked, counts = order_layers(layers, frames[1])
+    got = {r.graph_id: r.crossings for r in counts.collect()}
+    assert got == {g: plain({n: k for n, k in layer.items() if n[0] == "xy"[g - 1]}, links, 2, 3) for g, links in plainly.items()}
+    assert ranked.count() == sum(rows.values())
+    # A store for each step is for large graphs only.
+    assert any(name.startswith("step") for name in stored) == (whole < 100_000)
