@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 64
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)  # the lowest and the highest bit of each byte
 _BYTE = np.zeros((256, 8), np.int64)  # place of the k-th set bit of a byte
 for _b in range(256):
     _on = [k for k in range(8) if _b >> k & 1]
@@ -49,31 +50,37 @@ class EliasFano:
     """A mapped sequence. `size` is the number of bytes it takes from the start of `data`."""
 
     def __init__(self, data: np.ndarray):
+        data = data.view(np.ndarray)
         self.n, self.low, blocks, lows = (int(x) for x in data[:32].view("<u8"))
         at = 32
         self.before = data[at : at + 4 * (blocks + 1)].view("<u4")
         at += 8 * (blocks // 2 + 1)
-        self.upper = data[at : at + 8 * blocks]
+        self.upper = data[at : at + 8 * blocks].view("<u8")
         at += 8 * blocks
         raw = data[at : at + lows]
         self.lows = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (lows - 7,), (1,))
         self.size = at + lows
         self.bits = blocks * BLOCK
 
-    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        """The place of the k-th (from 0) bit that is set, or not set."""
-        before = self.before if one else (np.arange(len(self.before)) * BLOCK - self.before).astype(np.uint32)
+    def _clear(self) -> np.ndarray:
+        """The number of bits that are not set before each 64."""
+        return np.arange(len(self.before), dtype=np.uint32) * np.uint32(BLOCK) - self.before
+
+    def _select(self, k: np.ndarray, clear: np.ndarray | None = None) -> np.ndarray:
+        """The place of the k-th (from 0) bit that is set; with `clear`, of the k-th that is not."""
+        before = self.before if clear is None else clear
         word = np.searchsorted(before, k.astype(np.uint32), "right") - 1
-        left = k - before[word]
-        octets = self.upper.reshape(-1, 8)[word]
-        if not one:
-            octets = ~octets
-        counts = np.bitwise_count(octets).cumsum(axis=1, dtype=np.uint8)
-        octet = (counts <= left[:, None].astype(np.uint8)).sum(axis=1, dtype=np.int64)
-        flat = np.arange(0, 8 * len(k), 8) + octet
-        own = octets.ravel()[flat]
-        left = left - (counts.ravel()[flat] - np.bitwise_count(own))
-        return word * BLOCK + octet * 8 + _BYTE[own, left]
+        left = (k - before[word]).astype(np.uint64)
+        bits = self.upper[word]
+        if clear is not None:
+            bits = ~bits
+        # Byte i of `upto` is the number of bits in the bytes 0 to i; all eight are compared with `left` at once.
+        upto = np.bitwise_count(bits.view(np.uint8)).view("<u8") * _ONES
+        octet = np.bitwise_count((left * _ONES | _TOPS) - upto & _TOPS).astype(np.uint64)
+        shift = octet << np.uint64(3)
+        own = bits >> shift & np.uint64(255)
+        left -= upto << np.uint64(8) >> shift & np.uint64(255)
+        return word * BLOCK + shift.view(np.int64) + _BYTE[own.view(np.int64), left.view(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -86,7 +93,7 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         if not len(i):
             return np.zeros(0, np.uint64)
-        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low)) | self._low(i)
+        return ((self._select(i) - i).astype(np.uint64) << np.uint64(self.low)) | self._low(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, the first of equal ones, or -1: the successors within one run of equal high parts."""
@@ -98,10 +105,10 @@ class EliasFano:
         zeros = self.bits - int(self.before[-1])
         asked = np.flatnonzero(high < zeros)
         high, want = high[asked], values[asked] & np.uint64((1 << self.low) - 1)
-        start = np.zeros(len(asked), np.int64)
+        start, clear = np.zeros(len(asked), np.int64), self._clear()
         some = np.flatnonzero(high > 0)
-        start[some] = self._select(high[some] - 1, False) - (high[some] - 1)
-        end = self._select(high, False) - high
+        start[some] = self._select(high[some] - 1, clear) - (high[some] - 1)
+        end = self._select(high, clear) - high
         low, top, open_ = start.copy(), end.copy(), np.flatnonzero(start < end)
         while len(open_):  # within the numbers of one high part, which are many where a run is dense
             middle = (low[open_] + top[open_]) >> 1

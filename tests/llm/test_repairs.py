@@ -11,6 +11,7 @@ import pytest
 from pyspark import cloudpickle
 
 from argweave.llm import jaccard, packing, pieces, urls, wrappers
+from argweave.llm.eliasfano import EliasFano, encode
 
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_000_421 + "b"], ids=["spaces", "line feeds"])
@@ -71,3 +72,14 @@ def test_kept_row_of_repeated_rows_is_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, jaccard.keep_one(docs).collect()), key=repr) == sorted([(5, "a b c d e f g"), (None, None), (None, None), (9, "")], key=repr)
     assert np.unique([r.class_id for r in jaccard.join(docs).collect() if r.class_id is not None]).tolist() == [5, 9]
+
+
+@pytest.mark.parametrize(("most", "n"), [(1, 1), (1, 5000), (300, 5000), (10**6, 5000), (2**62, 3000), (64, 64)])
+def test_elias_fano_finds_and_reads_every_number(most, n):
+    values = np.sort(np.random.default_rng(n).integers(0, most, n, dtype=np.uint64))
+    sequence = EliasFano(np.frombuffer(encode(values), np.uint8))
+    assert (sequence.access(np.arange(n)) == values).all()
+    asked = np.unique(np.concatenate((values, values + np.uint64(1), np.random.default_rng(0).integers(0, most, 500, dtype=np.uint64))))
+    place = np.searchsorted(values, asked)
+    there = (place < n) & (values[np.minimum(place, n - 1)] == asked)
+    assert (sequence.find(asked) == np.where(there, place, -1)).all()
