@@ -83,6 +83,44 @@ def test_layers_of_random_graphs_with_cycles(spark, seed_):
     assert got == expected_layers(names, links)
 
 
+@pytest.mark.parametrize("whole", [100_000, 10])
+def test_layers_dealt_by_graph_equal_those_in_rounds(spark, monkeypatch, whole):
+    """Flat and deep graphs, cycles, links into other graphs, of other graphs and to no node, and one id in two graphs."""
+    monkeypatch.setattr(layout, "WHOLE", whole)
+    chance, nodes, links = random.Random(5), [], []
+    for g in range(1, 13):
+        names = [f"{g}-{k}" for k in range(3 * g % 11 + 3)]
+        nodes += [(g, n) for n in names]
+        pairs = zip(names[1:], names) if g == 3 else (sorted(chance.sample(names, 2), reverse=g != 4) for _ in names)
+        links += [(g, a, b) for a, b in pairs]
+    nodes += [(5, "both"), (6, "both"), (7, "7-0"), (None, "none")]
+    links += [(5, "both", "5-0"), (8, "8-0", "9-2"), (10, "11-0", "11-1"), (2, "2-0", "gone"), (12, "gone", "12-1"), (None, "1-0", "1-1"), (7, "7-1", "7-1")]
+    rows_ = spark.createDataFrame(nodes, "graph_id int, id string")
+    edges = spark.createDataFrame(links, "graph_id int, from_node_id string, to_node_id string")
+    names = sorted({n for _, n in nodes} | {n for _, a, b in links for n in (a, b)})
+    want = expected_layers(names, [(a, b) for _, a, b in links if a != b])
+    got = rows(assign_layers(rows_, edges))
+    assert sorted(got, key=str) == sorted([(g, n, want[n]) for g, n in nodes], key=str)
+    placed = rows(layout.positions(rows_, edges), "graph_id", "layer", "id", "slot")
+    order = sorted((g or 0, want[n], n) for g, n in nodes)
+    slots = [sum(o[:2] == other[:2] for other in order[:i]) for i, o in enumerate(order)]
+    assert sorted((g or 0, layer, n, slot) for g, layer, n, slot in placed) == [(*o, slot) for o, slot in zip(order, slots)]
+
+
+def test_flat_graphs_take_no_rounds(spark, seed_tables, monkeypatch):
+    written = []
+    monkeypatch.setattr(layout, "write_out", lambda df, path: (written.append(path), write_out(df, path))[1])
+    assert layout.positions(seed_tables.nodes, seed_tables.edges).count() == 27
+    assert not [p for p in written if "/settle" in p or "/ranged" in p]
+
+
+def test_wide_layers_are_numbered_over_many_tasks(spark, seed_tables, monkeypatch):
+    layers = assign_layers(seed_tables.nodes, seed_tables.edges)
+    want = sorted(rows(place(layers)))
+    monkeypatch.setattr(layout, "WHOLE", 6)
+    assert sorted(rows(place(layers))) == want
+
+
 def test_two_cycles_with_a_bridge(spark):
     got = layers(spark, "1:a 1:b 1:m 1:n 1:x 1:y 1:t", "a>b b>a a>m m>n n>x x>y y>x y>t")
     assert got == {"t": 0, "x": 1, "y": 1, "n": 2, "m": 3, "a": 4, "b": 4}
