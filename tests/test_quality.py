@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from argweave.operators import cascade
 from argweave.operators.lineage import run_folder, write_out
-from argweave.operators.quality import REPORT, counts, rules, summary, violations
+from argweave.operators.quality import REPORT, counts, dangling, entries, faulty, rules, summary, violations
 from argweave.schemas import GraphTables
 from tests.conftest import rows
 
@@ -159,3 +159,14 @@ def test_counts_have_a_row_for_every_rule(seed_tables):
     doubled = seed_tables._replace(graphs=seed_tables.graphs.unionByName(seed_tables.graphs))
     got = {r.rule: r.violations for r in counts(violations(doubled)).collect()}
     assert got["graphs_pkey"] == seed_tables.graphs.count() and got["nodes_pkey"] == 0 and len(got) == 21
+
+
+def test_keys_are_counted_in_hash_tables_and_not_sorted(spark, seed_tables, capsys):
+    faulty(entries(seed_tables.edges, "edges").unionByName(entries(seed_tables.nodes, "nodes"))).explain("formatted")
+    dangling(seed_tables.edges, "edges", "from_node_id", seed_tables.nodes).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert "LeftAnti" not in plan
+    nodes = seed_tables.nodes.where("id <> 'C1'")
+    assert dangling(seed_tables.edges, "edges", "from_node_id", nodes).count() == 1
+    assert dangling(seed_tables.edges, "edges", "to_node_id", nodes).count() == 4
