@@ -96,6 +96,15 @@ def test_buckets_join_without_a_shuffle(spark, seed_tables, capsys):
     assert "Exchange" not in capsys.readouterr().out
 
 
+def test_a_bucket_is_written_by_several_tasks(spark):
+    keys = GraphTables(spark.range(200), spark.range(200).toDF("graph_id"), spark.range(200).toDF("graph_id"))
+    tables.write_buckets(keys, "spread", 2, mode="overwrite")
+    files = [f.split("/")[-1] for f in spark.table("spread_nodes").inputFiles()]
+    buckets = [f.split("_")[1][:5] for f in files]
+    assert len(files) == 4 and sorted(set(buckets)) == ["00000", "00001"]
+    assert spark.table("spread_nodes").distinct().count() == 200
+
+
 def test_typed_reads_loose_values_without_failing(spark):
     loose = spark.createDataFrame(
         [
