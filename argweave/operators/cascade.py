@@ -20,24 +20,26 @@ from argweave.schemas import GraphTables
 def delete(tables: GraphTables, doomed: dict[str, DataFrame]) -> GraphTables:
     """What is left after deleting the rows listed in `doomed`, by table (id). NULL refers to nothing and no NULL id goes.
 
-    Each table is read at most twice, and every delete set once for each foreign key to its table.
+    Tables that others refer to are read at most twice, others once, and every delete set once for each foreign key to its
+    table. Rows that go with a small parent, as edges with their graph, are left out before they are dealt by a large one's keys.
     """
     folder = run_folder(tables.graphs.sparkSession)
     named = tables._asdict()
     parents = {parent for _, _, foreign in KEYS.values() for parent in foreign.values()}
     gone: dict[str, DataFrame] = {}
     for table, (_, _, foreign) in KEYS.items():  # parents stand before their children
-        sets = [doomed[table].select("id")] if table in doomed else []
+        # What was asked for may name a row many times; rows that follow are one for each id already.
+        sets = [doomed[table].select("id").distinct()] if table in doomed else []
         if table in parents:
             follow = {c: parent for c, parent in foreign.items() if parent in gone}
             sets += [_referring(named[table], c, gone[parent]) for c, parent in follow.items()]
         if sets:
-            ids = reduce(DataFrame.unionByName, sets).where("id is not null").distinct()
+            ids = reduce(DataFrame.unionByName, sets).where("id is not null")
             gone[table] = write_out(ids, f"{folder}/gone-{table}")
     left = {}
     for table, (_, _, foreign) in KEYS.items():
         rows = named[table]
-        for column, parent in foreign.items():
+        for column, parent in sorted(foreign.items(), key=lambda key: list(KEYS).index(key[1])):
             rows = _without(rows, column, gone.get(parent))
         if not _follows(foreign, gone, table, doomed):
             rows = _without(rows, "id", gone.get(table))

@@ -594,24 +594,23 @@ def _survivors(tables: GraphTables) -> DataFrame:
 
 
 def _keys_of(tables: GraphTables) -> GraphTables:
-    """The columns that a delete is decided on."""
+    """The columns that a delete is decided on. Nodes are stored, as a delete reads them twice; edges it reads once."""
+    nodes = write_out(tables.nodes.select("id", "graph_id", "kind"), f"{run_folder(tables.nodes.sparkSession)}/nodes")
     return GraphTables(
-        tables.graphs.select("id", "description"),
-        tables.nodes.select("id", "graph_id", "kind"),
-        tables.edges.select("id", "graph_id", "from_node_id", "to_node_id"),
+        tables.graphs.select("id", "description"), nodes, tables.edges.select("id", "graph_id", "from_node_id", "to_node_id")
     )
 
 
 @query
 def cascade_delete_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _stored(_keys_of(commerce(spark, sf_dir)))
+    tables = _keys_of(commerce(spark, sf_dir))
     doomed = tables.graphs.where(F.col("description") == "BUILDING")
     return _survivors(cascade.delete_graphs(tables, doomed))
 
 
 @query
 def cascade_delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _stored(_keys_of(commerce(spark, sf_dir)))
+    tables = _keys_of(commerce(spark, sf_dir))
     doomed = tables.nodes.where(F.col("kind") == "counter")
     return _survivors(cascade.delete_nodes(tables, doomed))
 

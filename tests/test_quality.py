@@ -170,3 +170,32 @@ def test_keys_are_counted_in_hash_tables_and_not_sorted(spark, seed_tables, caps
     nodes = seed_tables.nodes.where("id <> 'C1'")
     assert dangling(seed_tables.edges, "edges", "from_node_id", nodes).count() == 1
     assert dangling(seed_tables.edges, "edges", "to_node_id", nodes).count() == 4
+
+
+def test_edges_leave_with_their_graph_before_they_meet_nodes(two_graphs):
+    left = cascade.delete_graphs(two_graphs, two_graphs.graphs.where("id = 2"))
+    plan = left.edges._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "LeftAnti" in line]
+    assert len(joins) == 3 and "graph_id" in joins[-1]
+
+
+def test_a_delete_asked_for_twice_is_followed_once(two_graphs):
+    twice = two_graphs.graphs.where("id = 2")
+    left = cascade.delete_graphs(two_graphs, twice.unionByName(twice))
+    assert [r.id for r in left.graphs.collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["cascade_delete_graphs", "cascade_delete_nodes"])
+def test_deletes_store_no_table_that_is_read_once(spark, monkeypatch, name):
+    from argweave.operators import lineage
+    from argweave.plans import queries
+
+    stored = []
+
+    def write(df, path):
+        stored.append(path.rsplit("/", 1)[1])
+        return lineage.write_out(df, path)
+
+    monkeypatch.setattr(queries, "write_out", write)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert stored == ["nodes"]
