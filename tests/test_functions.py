@@ -125,3 +125,17 @@ def test_defaults_fill_missing_columns_and_nulls_only(spark):
     ]
     graphs = with_defaults(spark.createDataFrame([("a",)], "slug string"))
     assert graphs.columns == ["slug", "created_at", "updated_at"]
+
+
+def test_evidence_is_parsed_once(spark):
+    texts = ['{"type": "a", "score": 1}', ' \n{"score": "high", "rationale": {"b": 1}}', "{}", "[1]", "null", "{", "7", "", None]
+    parsed = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_evidence(F.col("t")).alias("e"))
+    plan = parsed.select("e.type", "e.score", "e.rationale")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") + plan.lower().count("parse_json") == 1
+    found = [None if r.e is None else tuple(r.e) for r in parsed.collect()]
+    assert found[:3] == [("a", 1.0, None), (None, None, '{"b":1}'), (None, None, None)] and found[3:] == [None] * 6
+
+
+def test_empty_tags(spark):
+    tags = spark.createDataFrame([("{}",), ("{a}",), ("{ }",), ("",), (None,)], "t string")
+    assert [r[0] for r in tags.select(parse_tags(F.col("t"))).collect()] == [[], ["a"], [" "], None, None]
