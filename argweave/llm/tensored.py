@@ -1,17 +1,19 @@
 """MinHash near-duplicates by tensored banding: full sets of word four-grams decide.
 
-Two collections of `groups` groups of `rows` minima each are computed, 2 * groups * rows in all. Each pair of a group of
-the first and a group of the second collection is the key of a table, so there are groups^2 tables of 2 * rows minima. Two
-texts share a table if they agree in a group of either collection; with similarity s that has the chance
-(1 - (1 - s^rows)^groups)^2, and `tensoring` chooses the numbers for a recall.
+Two collections of `groups` groups of `rows` minima each are computed, 2 * groups * rows in all. `tensoring` chooses the
+numbers such that two texts agree in a group of either collection with the chance of a recall; with similarity s that is
+(1 - (1 - s^rows)^groups)^2. Each pair of any two groups, also of one collection, is the key of a table of 2 * rows minima, so
+two texts share a table as soon as they agree in any two groups. At a similarity of 0.8 they fail to in 3 of a million cases,
+where pairs across the collections alone would fail in 750: a component needs all the links that hold it together, so with a
+recall of 0.999 for each a chain of a thousand texts would mostly be broken.
 
 Texts with the same set are one class, told by a 128-bit digest. 1. One pass over the texts: set size, digest, group keys,
-minima. 2. Group keys that two classes share; only groups that are left are paired to table keys, as a shared table needs
+minima. 2. Group keys that two classes share; only groups that are left are paired to table keys, as a shared table is
 two shared groups. 3. In each table bucket every class is held against the bucket's least class only: near copies by the
 thousand are linked in a linear number of comparisons. 4. Only buckets that still hold two components go on. There classes
 of different components meet in pairs, each pair in the first table that it shares; a large bucket is dealt into blocks,
 and each pair of blocks is a unit of work. 5. In 3 and 4 a pair whose minima agree in less than `AGREE` of all places is
-passed over (at the least similarity that is a chance below 1e-4, and part of the recall); all others are confirmed on full
+passed over (at the least similarity that is a chance of 3 in a million); all others are confirmed on full
 sets of 64-bit hashes, which are made from the texts again where classes are needed. 6. Connected components.
 
 Only A-Z are lowered. Words are runs of other than ASCII white space; a text of one to three words is one shingle. NULL
@@ -35,7 +37,7 @@ from argweave.llm.common import in_turn, store, text_slices, texts_of, unused_pr
 from argweave.llm.jaccard import components, digests, shingles
 from argweave.llm.places import placed, routed
 
-WORDS, PERCENT, RECALL, AGREE = 4, 80, 0.999, 0.6
+WORDS, PERCENT, RECALL, AGREE = 4, 80, 0.999, 0.55
 BLOCK = 512
 
 
@@ -96,9 +98,8 @@ def buckets(classes: DataFrame, groups: int) -> DataFrame:
     single = classes.select("id", F.posexplode("keys").alias("g", "key"))
     shared = store(single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "shared")
     left = single.join(shared, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("g", "key")).alias("left"))
-    first, second = (F.filter("left", lambda x, low=low: (x["g"] >= low) & (x["g"] < low + groups)) for low in (0, groups))
-    pairs = left.select("id", F.explode(first).alias("a"), second.alias("second")).select("id", "a", F.explode("second").alias("b"))
-    tables = pairs.select("id", (F.col("a.g") * groups + F.col("b.g") - groups).cast("int").alias("place"), F.xxhash64("a.key", "b.key").alias("key"))
+    pairs = left.select("id", "left", F.explode("left").alias("a")).select("id", "a", F.explode(F.filter("left", lambda x: x["g"] > F.col("a.g"))).alias("b"))
+    tables = pairs.select("id", (F.col("a.g") * 2 * groups + F.col("b.g")).cast("int").alias("place"), F.xxhash64("a.key", "b.key").alias("key"))
     tables = store(tables, "tables")
     crowd = tables.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
     return store(tables.join(store(crowd, "crowd"), "key"), "met")
@@ -217,14 +218,15 @@ def _crosses(met: DataFrame, classes: DataFrame, heads: DataFrame, docs: DataFra
         place = int(_column(unit, "place")[0])
         two = _column(unit, "p")[0] != _column(unit, "q")[0]
         parts = signs.reshape(len(signs), 2 * groups, rows)
-        one, other = place // groups, groups + place % groups
+        other = place % (2 * groups)
         for k in range(len(signs) - 1):
             rest = k + 1 + np.flatnonzero((comp[k + 1 :] != comp[k]) & ((block[k + 1 :] != block[k]) if two else True))
             if not len(rest):
                 continue
             same = parts[rest] == parts[k]
             shared = same.all(axis=2)
-            met_before = shared[:, :one].any(axis=1) | shared[:, groups:other].any(axis=1)
+            # The first table is that of the first two groups that are shared.
+            met_before = shared[:, :other].sum(axis=1) > 1
             rest = rest[~met_before & (same.mean(axis=(1, 2)) >= AGREE)]
             if len(rest):
                 yield k, rest

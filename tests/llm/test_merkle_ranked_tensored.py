@@ -258,3 +258,38 @@ def test_places_choose_rows_in_the_pass_that_reads_them(spark, tmp_path):
     twice = chosen.select("file", "row", F.lit(1).alias("u")).unionByName(chosen.select("file", "row", F.lit(2).alias("u")))
     got = places.routed(docs, twice, lambda texts: {"size": pa.array([len(t) for t in texts.to_pylist()], pa.int64())}, "size long", "__")
     assert sorted((r.u, r.size) for r in got.collect()) == sorted((u, len(f"text {k}")) for u in (1, 2) for k in range(0, 1000, 7))
+
+
+def test_groups_of_near_copies_hold_together_without_broadcasts(spark):
+    """Each text is 0.8 like the one before it and less like others, so a link that is missed cuts its chain. Shuffled
+    joins leave the keys of a class in any order."""
+    chance = random.Random(3)
+    rows = []
+    for chain in range(4):
+        words = [f"c{chain}x{k}" for k in range(120)]
+        for step in range(60):
+            rows.append((len(rows), " ".join(words)))
+            words = words[13:] + [f"c{chain}y{step}z{k}" for k in range(13)]
+    expected = {k: k - k % 60 for k in range(len(rows))}
+    chance.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in settings:
+        spark.conf.set(name, "-1")
+    try:
+        got = {r.doc_id: r.component_id for r in tensored.near_duplicates(docs).collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert got == expected
+
+
+def test_classes_meet_in_the_tables_of_any_two_groups(spark):
+    """Groups 14 and 20 are shared by 1 and 2, group 3 by 2 and 3, all others by none."""
+    keys = {k: [1000 * k + g for g in range(22)] for k in (1, 2, 3)}
+    for g, sharing in ((14, (1, 2)), (20, (1, 2)), (3, (2, 3))):
+        for k in sharing:
+            keys[k][g] = g
+    classes = spark.createDataFrame(list(keys.items()), "id long, keys array<long>")
+    got = tensored.buckets(classes, 11).select("id", "place", "size", "head").collect()
+    assert sorted(map(tuple, got)) == [(1, 14 * 22 + 20, 2, 1), (2, 14 * 22 + 20, 2, 1)]
