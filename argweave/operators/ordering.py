@@ -10,12 +10,18 @@ Means take the place of medians, as they come from partial sums: a node may have
 counted without pairs: two segments cross if the one that starts earlier ends later, so for every bit of the end's
 position, segments that agree in the bits above are counted, those with the bit set before those without it.
 
-Graphs of at most `WHOLE` nodes and segments are dealt by graph once, and all steps and counts are windows and sums within
-graphs from then on, which need no shuffle and no store. Only larger graphs go through a join and a store for each step.
+Graphs of at most `WHOLE` nodes and segments are dealt by graph once and numbered there. From then on a task takes many
+whole graphs at a time as arrays of numbers, for all steps and counts, without shuffles or stores: a count goes over the bits
+in place, where rows for each order, bit and segment would be sixty times the segments. Only larger graphs go through a
+join and a store for each step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,13 +57,13 @@ def order_layers(layers: DataFrame, edges: DataFrame, sweeps: int = 2, steps: in
     large = write_out(large, f"{folder}/large")
     tasks = 1 + (seen.get["rows"] or 0) // DEAL
     if large.isEmpty():
-        return _at_once(nodes, segments, sweeps, steps, tasks, f"{folder}/whole")
+        return _at_once(nodes, segments, sweeps, steps, tasks)
     of_small, of_large = ([rows.join(large, "graph_id", how) for rows in (nodes, segments)] for how in ("left_anti", "left_semi"))
-    both = _at_once(*of_small, sweeps, steps, tasks, f"{folder}/whole"), _by_steps(*of_large, sweeps, steps, folder)
+    both = _at_once(*of_small, sweeps, steps, tasks), _by_steps(*of_large, sweeps, steps, folder)
     return tuple(a.unionByName(b) for a, b in zip(*both, strict=True))
 
 
-def _at_once(nodes: DataFrame, segments: DataFrame, sweeps: int, steps: int, tasks: int, folder: str) -> tuple[DataFrame, DataFrame]:
+def _at_once(nodes: DataFrame, segments: DataFrame, sweeps: int, steps: int, tasks: int) -> tuple[DataFrame, DataFrame]:
     """As `order_layers`, with each graph in one task. A row is a point, whose ends are itself, or a segment."""
     ends = ("up", "low")
     points = [
@@ -76,25 +82,94 @@ def _at_once(nodes: DataFrame, segments: DataFrame, sweeps: int, steps: int, tas
     for end, layer in (("up", F.col("layer") + F.when(point, 0).otherwise(1)), ("low", F.col("layer"))):
         rows = rows.withColumn(end, F.max("n").over(within(layer, f"{end}_id", f"{end}_via")))
     rows = rows.select("graph_id", "layer", "point", "real", F.when(F.col("real"), F.col("up_id")).alias("id"), "n", *ends)
-    rows = rows.withColumn("width", F.count("n").over(within("layer")))
-    ranked = lambda *order: F.when(point, F.row_number().over(within("point", "layer").orderBy(*order)) - 1)
-    rows = rows.withColumn("slot", ranked("n")).withColumn("slots", F.array("slot"))
+    rows = rows.sortWithinPartitions("graph_id", F.col("n").asc_nulls_last())
+    kind, layer = (rows.schema[name].dataType.simpleString() for name in ("graph_id", "layer"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for graphs in _whole_graphs(batches):
+            yield from _ordered(graphs, sweeps, steps)
+
+    done = rows.mapInArrow(run, f"graph_id {kind}, id string, layer {layer}, rank bigint, crossings array<bigint>")
+    counts = done.where("crossings is not null").select("graph_id", "crossings")
+    return done.where("crossings is null").drop("crossings"), counts
+
+
+def _whole_graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by graph, in tables of whole graphs of about `DEAL` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= DEAL:
+            rows = pa.Table.from_batches(held)
+            graph = _graphs_of(rows)
+            whole = int(np.searchsorted(graph, graph[-1]))  # the last one may go on
+            held = rows.slice(whole).to_batches()
+            if whole:
+                yield rows.slice(0, whole)
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _graphs_of(rows: pa.Table) -> np.ndarray:
+    """The number of each row's graph, from 0 in the order of the rows."""
+    return rows.column("graph_id").combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _ordered(rows: pa.Table, sweeps: int, steps: int) -> Iterator[pa.RecordBatch]:
+    """The nodes of whole graphs with their rank, and for each graph with segments a row of its crossings."""
+    graph, point = _graphs_of(rows), rows.column("point").to_numpy()
+    points, parts = np.flatnonzero(point), np.flatnonzero(~point)
+    own, of_parts = graph[points], graph[parts]
+    first = np.searchsorted(own, np.arange(graph[-1] + 1)) - 1  # points are numbered from 1 in each graph
+    at = lambda rows_, end: first[graph[rows_]] + rows.column(end).take(pa.array(rows_)).to_numpy()
+    same, ends = at(points, "up"), {end: at(parts, end) for end in ("up", "low")}
+    layer = rows.column("layer").take(pa.array(points)).to_numpy()
+    fresh = np.ones(len(points), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (layer[1:] != layer[:-1])
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(points)), 0))
+    slot = np.arange(len(points)) - begin
+    slots = [slot]
     for step in range(sweeps * steps):
         near, far = ("low", "up") if step // steps % 2 == 0 else ("up", "low")
-        moves = F.col("layer") % 2 == (step + 1) % 2
-        rows = rows.withColumn("near", F.when(~point, F.max("slot").over(within(near))))
-        mean = F.sum("near").over(within(far)).cast("double") / F.count("near").over(within(far))
-        rows = rows.withColumn("mean", F.when(point & moves, mean))
-        rows = rows.withColumn("key", F.coalesce("mean", F.col("slot").cast("double")))
-        rows = rows.withColumn("slot", ranked("key", "n")).drop("near", "mean", "key")
-        rows = rows.withColumn("slots", F.concat("slots", F.array("slot")))
-    both = rows
-    for end, name in (("up", "u"), ("low", "l")):
-        both = both.withColumn(name, F.max(F.when(point, F.col("slots"))).over(within(end)))
-    sums, group = _sums(both.where(~point))
-    sums = sums.withColumn("before", F.sum("ones").over(_earlier(*group, "u")))
-    counts = write_out(_by_graph(sums, F.col("zeros") * F.coalesce("before", F.lit(0)), 1 + sweeps * steps), f"{folder}/counts")
-    return _best(rows.where("real"), counts), counts
+        top = np.zeros(len(points), np.int64)
+        np.maximum.at(top, same, slot)
+        many = np.bincount(ends[far], minlength=len(points))
+        mean = np.bincount(ends[far], top[ends[near]], len(points)) / np.maximum(many, 1)
+        moves = (layer % 2 == (step + 1) % 2) & (many[same] > 0)
+        order = np.lexsort((np.where(moves, mean[same], slot), begin))
+        slot = np.empty_like(slot)
+        slot[order] = np.arange(len(points)) - begin
+        slots.append(slot)
+    found = np.stack([_crossed(of_parts, begin[ends["low"]], s[ends["up"]], s[ends["low"]], len(first)) for s in slots], axis=1)
+    real = np.flatnonzero(rows.column("real").take(pa.array(points)).to_numpy())
+    rank = np.stack(slots, axis=1)[real, found.argmin(axis=1)[own[real]]]
+    nodes = rows.select(["graph_id", "id", "layer"]).take(pa.array(points[real])).combine_chunks()
+    for n, values in (("rank", pa.array(rank)), ("crossings", pa.nulls(len(real), pa.list_(pa.int64())))):
+        nodes = nodes.append_column(n, values)
+    yield from nodes.to_batches()
+    linked, one = np.unique(of_parts, return_index=True)
+    counts = rows.select(["graph_id", "id", "layer"]).take(pa.array(parts[one])).combine_chunks()
+    counts = counts.append_column("rank", pa.nulls(len(one), pa.int64()))
+    yield from counts.append_column("crossings", pa.array(list(found[linked]), pa.list_(pa.int64()))).to_batches()
+
+
+def _crossed(graph: np.ndarray, layer: np.ndarray, up: np.ndarray, low: np.ndarray, graphs: int) -> np.ndarray:
+    """The crossings of each graph, of segments between the positions `up` and `low` of a layer. From the highest bit on,
+    segments that agree in the bits above stand together, by `up`, and are dealt by the bit."""
+    order = np.lexsort((low, up, layer))
+    graph, layer, low = graph[order], layer[order], low[order].astype(np.int64)
+    place, total = np.arange(len(low)), np.zeros(graphs)
+    begin = np.searchsorted(layer, layer)
+    for bit in range(int(low.max(initial=0)).bit_length() - 1, -1, -1):
+        one = low >> bit & 1
+        before = np.cumsum(one) - one
+        before -= before[begin]
+        total += np.bincount(graph, np.where(one, 0, before), graphs)
+        ones = np.bincount(begin, one, len(low)).astype(np.int64)[begin]
+        middle = begin + np.bincount(begin, minlength=len(low))[begin] - ones
+        to = np.where(one, middle + before, place - before)
+        low[to], begin[to] = low.copy(), np.where(one, middle, begin)
+    return total.astype(np.int64)
 
 
 def _by_steps(nodes: DataFrame, segments: DataFrame, sweeps: int, steps: int, folder: str) -> tuple[DataFrame, DataFrame]:

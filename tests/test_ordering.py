@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,37 @@ def test_large_graphs_are_ordered_as_small_ones(spark, monkeypatch, whole):
     assert ranked.count() == sum(rows.values())
     # A store for each step is for large graphs only.
     assert any(name.startswith("step") for name in stored) == (whole < 100_000)
+
+
+def test_small_graphs_are_counted_in_place(spark, monkeypatch):
+    """No row for each order, bit and segment, and no store of steps or counts; whole graphs in tables of any size."""
+    stored = []
+    write = ordering.write_out
+    monkeypatch.setattr(ordering, "write_out", lambda df, path: stored.append(path.rsplit("/", 1)[1]) or write(df, path))
+    monkeypatch.setattr(ordering, "DEAL", 10)
+    chance, nodes, edges, plainly = random.Random(9), [], [], {}
+    for g in range(6):
+        names = [f"g{g}n{k:02}" for k in range(8)]
+        plainly[g] = [(names[b], names[a]) for a, b in (sorted(chance.sample(range(8), 2)) for _ in range(14))]
+        nodes += [f"{g}:{n}" for n in names]
+        edges += [f"{a}>{b}" for a, b in plainly[g]]
+    frames = graph(spark, " ".join(nodes), " ".join(edges))
+    layers = assign_layers(*frames)
+    ranked, counts = order_layers(layers, frames[1])
+    assert stored == ["nodes", "segments", "large"]
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    layer = {r.id: r.layer for r in layers.collect()}
+    got = {r.graph_id: r.crossings for r in counts.collect()}
+    assert got == {g: plain({n: k for n, k in layer.items() if n.startswith(f"g{g}n")}, links, 2, 3) for g, links in plainly.items()}
+    assert ranked.count() == 48
+
+
+def test_crossings_are_those_of_all_pairs():
+    chance = np.random.default_rng(4)
+    layer = np.sort(chance.integers(0, 5, 300)) * 7
+    up, low = chance.integers(0, 20, 300), chance.integers(0, 37, 300)
+    pairs = (layer[:, None] == layer) & (up[:, None] < up) & (low[:, None] > low)
+    graph = layer // 14
+    order = chance.permutation(300)
+    got = ordering._crossed(graph[order], layer[order], up[order], low[order], 4)
+    assert got.tolist() == [int(pairs[graph == g].sum()) for g in range(4)]
