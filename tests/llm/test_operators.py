@@ -334,6 +334,14 @@ def test_copies_of_an_article_are_no_template():
     assert _texts([counted.format(k) for k in range(12)]) == [f"Head\nOne\nViews: {k}" for k in range(12)]
 
 
+def test_like_siblings_are_told_apart_by_elements_left_out():
+    """On every other page a section with a small form stands before the template's section with a large one."""
+    large = "<form>" + "".join(f"<ul class=u{k}><li>x</li></ul>" for k in range(6)) + "</form>"
+    template = f"<section><p>Terms apply</p>{large}</section>"
+    pages = [f"<section><p>First {k}</p><form>y</form></section><h2>Title {k}</h2>{template}" if k % 2 else f"{template}<h2>Title {k}</h2>" for k in range(12)]
+    assert _texts(pages) == [f"First {k}\nTitle {k}" if k % 2 else f"Title {k}" for k in range(12)]
+
+
 def test_wrappers_stay_as_small_as_a_page():
     name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
     pages = [f"<h3>Our page</h3><div id=x{name(k)}><section class=y{name(k)}>Text {k}</section></div><div id=post-{k}><div>Signed</div><div>b<i>{k}</i></div></div>" for k in range(60)]
